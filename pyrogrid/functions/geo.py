@@ -67,33 +67,40 @@ def outline_lattice() -> tuple[int, int, int, int, str, str]:
 
 
 def in_mainland(lat: Column, lon: Column, boundary: bool = True) -> Column:
-    """True inside the mainland outline; points on the outline count if ``boundary``."""
+    """True inside the mainland outline; points on the outline count if ``boundary``.
+
+    The point is bound once, so a costly coordinate expression is not repeated for
+    every edge when the optimizer moves the filter below the projection.
+    """
     col0, row0, cols, rows, states, strips = outline_lattice()
-    col = F.floor(lon / LATTICE_DEG) - col0
-    row = F.floor(lat / LATTICE_DEG) - row0
-    in_lattice = (col >= 0) & (col < cols) & (row >= 0) & (row < rows)
-    # Both tables are constants, folded once into array literals.
-    state = F.element_at(F.split(F.lit(states), ","), (row * cols + col + 1).cast("int"))
     edge_type = "array<array<struct<x1:double,y1:double,x2:double,y2:double>>>"
-    edges = F.element_at(F.from_json(F.lit(strips), edge_type), (row + 1).cast("int"))
-
-    def crosses(e: Column) -> Column:
-        return ((e.y1 > lat) != (e.y2 > lat)) & (lon < (e.x2 - e.x1) * (lat - e.y1) / (e.y2 - e.y1) + e.x1)
 
-    def touches(e: Column) -> Column:
+    def test(p: Column) -> Column:
+        y, x = p["y"], p["x"]
+        col, row = F.floor(x / LATTICE_DEG) - col0, F.floor(y / LATTICE_DEG) - row0
+        in_lattice = (col >= 0) & (col < cols) & (row >= 0) & (row < rows)
+        # Both tables are constants, folded once into array literals.
+        state = F.element_at(F.split(F.lit(states), ","), (row * cols + col + 1).cast("int"))
+        edges = F.element_at(F.from_json(F.lit(strips), edge_type), (row + 1).cast("int"))
+
+        def crosses(e: Column) -> Column:
+            return ((e.y1 > y) != (e.y2 > y)) & (x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1)
+
+        def touches(e: Column) -> Column:
+            return (
+                ((e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1) == 0)
+                & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
+                & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2))
+            )
+
+        parity = F.aggregate(edges, F.lit(False), lambda acc, e: acc != F.coalesce(crosses(e), F.lit(False)))
+        exact = (parity | F.exists(edges, touches)) if boundary else parity
         return (
-            ((e.x2 - e.x1) * (lat - e.y1) - (e.y2 - e.y1) * (lon - e.x1) == 0)
-            & lat.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
-            & lon.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2))
+            F.when(~in_lattice, F.lit(False)).when(state == CROSSED, exact).otherwise(state == INSIDE)
         )
 
-    parity = F.aggregate(edges, F.lit(False), lambda acc, e: acc != F.coalesce(crosses(e), F.lit(False)))
-    exact = (parity | F.exists(edges, touches)) if boundary else parity
-    return (
-        F.when(~in_lattice, F.lit(False))
-        .when(state == CROSSED, exact)
-        .otherwise(state == INSIDE)
-    )
+    point = F.struct(lat.alias("y"), lon.alias("x"))
+    return F.element_at(F.transform(F.array(point), test), 1)
 
 
 def in_bbox(lat: Column, lon: Column, bbox: tuple[float, float, float, float] = K.REGION_BBOX) -> Column:
@@ -141,6 +148,16 @@ def project(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.sin(theta) * rho + 4_000_000.0, F.lit(rho0 + 4_000_000.0) - F.cos(theta) * rho
 
 
+def project_point(lat: float, lon: float) -> tuple[float, float]:
+    """``project`` for one pair of numbers on the driver."""
+    ecc, n, scale, rho0 = _conic()
+    phi = math.radians(lat)
+    es = ecc * math.sin(phi)
+    rho = scale * (math.tan(math.pi / 4 - phi / 2) / ((1 - es) / (1 + es)) ** (ecc / 2)) ** n
+    theta = n * math.radians(lon - 80.0)
+    return rho * math.sin(theta) + 4_000_000.0, rho0 + 4_000_000.0 - rho * math.cos(theta)
+
+
 def destination(lat: Column, lon: Column, bearing_deg: Column, radius_km: Column) -> tuple[Column, Column]:
     """Point at a bearing and great-circle distance, in degrees."""
     phi, lam, b = F.radians(lat), F.radians(lon), F.radians(bearing_deg)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pyrogrid import constants as K
+from pyrogrid.functions.text import rounded
 
 # False-position steps on the log balance over 1/T, which is almost linear there;
 # the tests compare the result with plain halving.
@@ -152,5 +153,5 @@ def emission_rates(cls: Column, power_mw: Column) -> tuple[Column, Column]:
     for part in (0, 1):
         factors = {c: f[part] for c, f in K.EMISSION_FACTORS.items()}
         factor = lookup(factors, cls, F.lit(factors[K.DEFAULT_EMISSION_CLASS]))
-        rates.append(F.when(usable, F.bround(power_mw * 3.6 * factor, 4)).otherwise(F.lit(0.0)))
+        rates.append(F.when(usable, rounded(power_mw * 3.6 * factor, 4)).otherwise(F.lit(0.0)))
     return rates[0], rates[1]

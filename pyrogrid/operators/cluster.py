@@ -25,11 +25,27 @@ def with_cells(df: DataFrame, cell_deg: float = K.CELL_DEG) -> DataFrame:
     )
 
 
+def tir_frequencies(df: DataFrame) -> DataFrame:
+    """Rows per TIR value, of low-power detections and of all."""
+    return df.groupBy("bright_ti5").agg(
+        F.count_if(F.col("frp") < 5.0).alias("n_low"), F.count(F.lit(1)).alias("n_all")
+    )
+
+
+def ambient_from_frequencies(freq: DataFrame) -> DataFrame:
+    """One row: median TIR of low-power rows, else of all rows.
+
+    Value counts of different batches can be added, so the median stays exact in
+    incremental runs without reading old detections again.
+    """
+    low = F.coalesce(freq.agg(F.sum("n_low").alias("n")).select("n").scalar(), F.lit(0)) > 0
+    weight = F.when(low, F.col("n_low")).otherwise(F.col("n_all"))
+    return exact_quantile(freq, "bright_ti5", 0.5, weight=weight, name="ambient_K")
+
+
 def regional_ambient(df: DataFrame) -> DataFrame:
     """One row: median TIR of low-power rows, else of all rows."""
-    low = exact_quantile(df.filter(F.col("frp") < 5.0), "bright_ti5", 0.5, name="low")
-    every = exact_quantile(df, "bright_ti5", 0.5, name="every")
-    return every.select(F.coalesce(low.scalar(), F.col("every")).alias("ambient_K"))
+    return ambient_from_frequencies(tir_frequencies(df))
 
 
 def diurnal_histogram(counts: list[Column], total: Column) -> Column:

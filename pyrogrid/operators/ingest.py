@@ -15,18 +15,21 @@ DUPLICATE_KEY = ["latitude", "longitude", "acq_utc", "satellite"]
 
 def to_number(column: Column) -> Column:
     """Double, or null where the text is no number."""
-    number = column.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(column.try_cast("double"), F.lit(None).cast("double"))
 
 
 def parse_utc(acq_date: Column, acq_time: Column) -> Column:
-    """UTC timestamp of a date and an unpadded HHMM text; null if unreadable."""
-    time = F.regexp_replace(acq_time.cast("string"), r"\.0$", "")
-    padded = F.when(F.length(time) < 4, F.lpad(time, 4, "0")).otherwise(time)
-    text = F.concat(
-        acq_date.cast("string"), F.lit(" "), F.substring(padded, 1, 2), F.lit(":"), F.substring(padded, 3, 99)
-    )
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm"))
+    """UTC timestamp of a date and an unpadded HHMM text; null if unreadable.
+
+    A trailing ``.0`` is accepted.  Whole-number arithmetic keeps the expression in
+    generated code, where a timestamp pattern would be parsed per row.
+    """
+    time = acq_time.cast("string")
+    clock = time.try_cast("double").cast("int")
+    day = F.when(F.length(acq_date.cast("string")) >= 8, acq_date.try_cast("date"))
+    valid = time.rlike(r"^[0-9]{1,4}(\.0)?$") & (clock < 2400) & (clock % 100 < 60)
+    seconds = F.unix_date(day).cast("long") * 86400 + F.floor(clock / 100) * 3600 + (clock % 100) * 60
+    return F.when(valid, F.timestamp_seconds(seconds))
 
 
 def local_solar_hour(acq_utc: Column, longitude: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,9 @@ RUNTIME_CONF = {
     # Grid cells per task exceed the default of 128 long before memory is short;
     # the default would sort every map-side input.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
+    # Generated methods above this size are never compiled by the JVM; such stages
+    # run faster as separate expressions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -59,3 +63,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so iterations do not grow the plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Later reads prune columns and push filters down, and none of them repeats the
+    work before it, even after executors are lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
