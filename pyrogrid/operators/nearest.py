@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from pyrogrid.session import cut_lineage
 # A cell is split while more facilities than this may be the nearest one of some
 # point in it, and each split cuts a cell into FAN x FAN.
 MAX_CANDIDATES = 64
+# A registry this small is one cell: comparing with all of it costs less than an index.
+SMALL_REGISTRY = 256
 FAN = 8
 MAX_DEPTH = 7
 # Candidate entries (about 40 bytes each) up to which the index is broadcast.
@@ -58,6 +60,14 @@ PLANAR = Metric(box=_projected_region())
 PLATE = Metric(
     box=(-180.0, -90.0, 180.0, 90.0), unit=111.0, scale=lambda y: F.cos(F.radians(y)), scale_range=_cos_range
 )
+
+
+def over_points(metric: Metric, points: DataFrame, x: str, y: str) -> Metric:
+    """The metric with its box around a table of points (one pass over two columns)."""
+    e = points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    return metric if e[0] is None else replace(metric, box=(e[0], e[1], e[2], e[3]))
+
+
 # Key of the candidates for points beyond the root square.
 OUTSIDE = -1
 
@@ -77,12 +87,13 @@ def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric
     The root is a square around the region and all facilities.  A facility stays a
     candidate of a cell unless another one is nearer to every point of it (its
     least distance exceeds the smallest greatest distance).  Of facilities at one
-    position only the first by ``tie`` can win, so copies are dropped first.
+    position only the first by ``tie`` can win, so copies are dropped first.  For
+    PLATE pass a box around the points (``over_points``) unless there are few sites.
 
     The way from a point beyond the root to its nearest facility crosses the root's
     edge at a spot that has the same nearest facility.  So the candidates of all
-    edge cells together serve every such point.  (That needs a metric without scale;
-    the root of the scaled one holds the whole globe.)
+    edge cells together serve every such point.  That needs a metric without scale;
+    the box of a scaled one must hold every point.
 
     Each round refines only cells that still have many candidates, and the number
     of rounds is limited by the smallest cell, not by the number of facilities.
@@ -104,7 +115,7 @@ def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric
         F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"), "fx", "fy", "tie"
     )
     leaves, depths, held = [], [], [distinct]
-    most = int(extent[4])
+    most = 0 if extent[4] <= SMALL_REGISTRY else int(extent[4])
     for depth in range(MAX_DEPTH + 1):
         last = depth == MAX_DEPTH or most <= MAX_CANDIDATES
         counts = level.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,8 @@ from pyrogrid import constants as K
 from pyrogrid.functions import geo
 from pyrogrid.functions.text import rounded
 from pyrogrid.operators.ingest import NUMERIC_COLUMNS, filter_mainland, to_number
-from pyrogrid.operators.nearest import PLATE, attach_nearest, build_index, with_rank
+from pyrogrid.operators.nearest import PLATE, attach_nearest, build_index, over_points, with_rank
+from pyrogrid.session import stored
 
 
 def numeric_rows(raw: DataFrame) -> DataFrame:
@@ -57,12 +58,18 @@ def persistent_cells(df: DataFrame, min_days: int = 2) -> DataFrame:
     return grouped.filter(F.col("days") >= min_days).withColumn("_score", score)
 
 
+def locate_cells(cells: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Cells with the nearest site; the cell table is stored because it is read twice."""
+    cells = stored(cells, "persistent")
+    metric = over_points(PLATE, cells, "_lon", "_lat")
+    index = build_index(ranked, "lon", "lat", "registry_rank", metric)
+    return attach_nearest(cells, index, F.col("_lon"), F.col("_lat"))
+
+
 def profile_persistent(df: DataFrame, sites: DataFrame) -> DataFrame:
     """Persistent cells with their nearest site, rounded for reporting, best first."""
-    cells = persistent_cells(df)
     ranked = with_rank(sites)
-    index = build_index(ranked, "lon", "lat", "registry_rank", PLATE)
-    located = attach_nearest(cells, index, F.col("_lon"), F.col("_lat")).withColumn("_tie", F.col("nearest.tie"))
+    located = locate_cells(persistent_cells(df), ranked).withColumn("_tie", F.col("nearest.tie"))
     names = ranked.select(F.col("registry_rank").alias("_tie"), F.col("name").alias("nearest_facility"))
     return (
         located.join(names, "_tie", "left")

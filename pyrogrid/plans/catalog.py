@@ -79,7 +79,7 @@ def dedupe_detections(spark, sf):
 
 @query(
     """SELECT source_id, n_hits, n_days, n_nights, round(night_frac, 4) AS night_frac, first_seen::varchar AS first_seen,
-       last_seen::varchar AS last_seen, span_days, round(frp_mean, 4) AS frp_mean, frp_max, round(frp_median, 4) AS frp_median,
+       last_seen::varchar AS last_seen, span_days, round(frp_mean + 1e-7, 4) AS frp_mean, frp_max, round(frp_median, 4) AS frp_median,
        round(frp_cv, 4) AS frp_cv, round(ti4_median, 4) AS ti4_median, ti4_max, round(ti4_std, 4) AS ti4_std,
        round(ti5_median, 4) AS ti5_median, round(dT_median, 4) AS d_t_median, round(local_solar_hour, 4) AS local_solar_hour,
        round(pixel_area_m2, 1) AS pixel_area_m2, round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon,
@@ -88,7 +88,7 @@ def dedupe_detections(spark, sf):
 def cluster_sources(spark, sf):
     return cluster.cluster_sources(W.detections(spark, sf)).select(
         "source_id", "n_hits", "n_days", "n_nights", r("night_frac", 4), F.col("first_seen").cast("string").alias("first_seen"),
-        F.col("last_seen").cast("string").alias("last_seen"), "span_days", r("frp_mean", 4), "frp_max", r("frp_median", 4),
+        F.col("last_seen").cast("string").alias("last_seen"), "span_days", F.round(F.col("frp_mean") + 1e-7, 4).alias("frp_mean"), "frp_max", r("frp_median", 4),
         r("frp_cv", 4), r("ti4_median", 4), "ti4_max", r("ti4_std", 4), r("ti5_median", 4), r("dT_median", 4, "d_t_median"),
         r("local_solar_hour", 4), r("pixel_area_m2", 1), r("centroid_lat", 6), r("centroid_lon", 6), "fill_ratio",
         r("flare_score", 4),
@@ -613,8 +613,7 @@ def profile_counts(spark, sf):
 def persistent_cells(spark, sf):
     inside = ingest.filter_mainland(W.clean(spark, sf))
     ranked = nearest.with_rank(W.facilities(spark, sf))
-    index = nearest.build_index(ranked, "lon", "lat", "registry_rank", nearest.PLATE)
-    cells = nearest.attach_nearest(profiler.persistent_cells(inside), index, F.col("_lon"), F.col("_lat"))
+    cells = profiler.locate_cells(profiler.persistent_cells(inside), ranked)
     return cells.select(
         F.round("_lat", 2).alias("latitude"), F.round("_lon", 2).alias("longitude"), "hits", "days", "night_hits",
         F.round("_max", 2).alias("max_frp"), F.round("_score", 3).alias("score"), F.round("nearest.distance", 3).alias("facility_km"),
@@ -906,7 +905,7 @@ def stream_store(spark, sf):
 def pipeline_end_to_end(spark, sf):
     """Raw texts to located and retrieved sources in one plan, nothing stored before."""
     W.configure(spark)
-    found = cluster.cluster_sources(W.stored(ingest.normalise(W.raw_feed(spark, sf)), "clean"))
+    found = W.rounded_centres(cluster.cluster_sources(W.stored(ingest.normalise(W.raw_feed(spark, sf)), "clean")))
     located = features.with_retrieval(nearest.nearest_facility(found, W.facilities(spark, sf)))
     return located.select(
         "source_id", "n_hits", F.round("retrieval.t_fire_K", 2).alias("t_fire_k"), r("dist_facility_m", 1), "facility_name",

@@ -130,16 +130,20 @@ CTES: dict[str, str] = {
         FROM (SELECT DISTINCT lat_cell, lon_cell, acq_date FROM det)) GROUP BY ALL""",
     "hours": """
       SELECT lat_cell, lon_cell, floor(local_solar_hour)::int % 24 AS hour, count(*) AS n FROM det GROUP BY ALL""",
-    "hist": """
-      SELECT c.lat_cell, c.lon_cell, h.hour, coalesce(o.n, 0)::double / c.total AS share
+    "hist_raw": """
+      SELECT c.lat_cell, c.lon_cell, list(coalesce(o.n, 0)::double / c.total ORDER BY h.hour) AS shares
       FROM (SELECT lat_cell, lon_cell, count(*) AS total FROM det GROUP BY ALL) c
       CROSS JOIN (SELECT unnest(range(24)) AS hour) h
-      LEFT JOIN hours o ON o.lat_cell = c.lat_cell AND o.lon_cell = c.lon_cell AND o.hour = h.hour""",
+      LEFT JOIN hours o ON o.lat_cell = c.lat_cell AND o.lon_cell = c.lon_cell AND o.hour = h.hour
+      GROUP BY c.lat_cell, c.lon_cell""",
+    # The last bin takes what the others leave, summed in order.
+    "hist_list": """
+      SELECT lat_cell, lon_cell, list_append(shares[1:23], greatest(0, 1 - list_reduce(shares[1:23], lambda a, b: a + b))) AS p FROM hist_raw""",
+    "hist": "SELECT lat_cell, lon_cell, generate_subscripts(p, 1) - 1 AS hour, unnest(p) AS share FROM hist_list",
     "shape_facts": """
-      SELECT lat_cell, lon_cell, max(share) AS top, min(share) AS low, arg_min(hour, (-share, hour)) AS peak,
-        -sum(CASE WHEN share > 0 THEN share * ln(share) ELSE 0 END) / ln(24) AS spread,
-        sum(share) FILTER (WHERE hour BETWEEN 10 AND 16) AS day, sum(share) FILTER (WHERE hour BETWEEN 16 AND 20) AS evening
-      FROM hist GROUP BY ALL""",
+      SELECT lat_cell, lon_cell, list_max(p) AS top, list_min(p) AS low, list_position(p, list_max(p)) - 1 AS peak,
+        -list_reduce(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END), lambda a, b: a + b) / ln(24) AS spread,
+        list_reduce(p[11:17], lambda a, b: a + b) AS day, list_reduce(p[17:21], lambda a, b: a + b) AS evening FROM hist_list""",
     "cells": """
       SELECT lat_cell, lon_cell, count(*) AS n_hits, count(DISTINCT acq_date) AS n_days,
         count(*) FILTER (WHERE daynight = 'N') AS n_nights, min(acq_utc) AS first_seen, max(acq_utc) AS last_seen,
@@ -147,7 +151,7 @@ CTES: dict[str, str] = {
         quantile_cont(bright_ti4, 0.5) AS ti4_median, max(bright_ti4) AS ti4_max, stddev_pop(bright_ti4) AS ti4_std,
         quantile_cont(bright_ti5, 0.5) AS ti5_median, quantile_cont(bright_ti5, 0.05) AS ti5_low,
         quantile_cont(bright_ti4 - bright_ti5, 0.5) AS dT_median, quantile_cont(local_solar_hour, 0.5) AS local_solar_hour,
-        quantile_cont(pixel_area_m2, 0.5) AS pixel_area_m2, avg(latitude) AS centroid_lat, avg(longitude) AS centroid_lon
+        quantile_cont(pixel_area_m2, 0.5) AS pixel_area_m2, round(avg(latitude), 6) AS centroid_lat, round(avg(longitude), 6) AS centroid_lon
       FROM det GROUP BY lat_cell, lon_cell""",
     "sources": """
       SELECT 'AV-' || upper(substr(md5(lat_cell || ':' || lon_cell), 1, 8)) AS source_id, c.*,
@@ -198,7 +202,8 @@ CTES: dict[str, str] = {
               (l4 - b4) * ({_planck(K.LAM_TIR, '(lo + hi) / 2')} - b5) - (l5 - b5) * ({_planck(K.LAM_MIR, '(lo + hi) / 2')} - b4) AS g
             FROM halving WHERE step < 50 AND g_lo * g_hi < 0)""",
     "retrieval": f"""
-      SELECT d.source_id, d.bg AS t_bg_used, h.t AS t_fire_K, least(1, (d.l4 - d.b4) / ({_planck(K.LAM_MIR, 'h.t')} - d.b4)) AS frac,
+      SELECT d.source_id, d.bg AS t_bg_used, h.t AS t_fire_K,
+        CASE WHEN h.t IS NOT NULL THEN least(1, (d.l4 - d.b4) / ({_planck(K.LAM_MIR, 'h.t')} - d.b4)) END AS frac,
         least(1, (d.l4 - d.b4) / ({_planck(K.LAM_MIR, 'h.t')} - d.b4)) * d.pixel_area_m2 * {K.SIGMA!r}::double * pow(h.t, 4) / 1e6 AS frp_derived_MW,
         CASE WHEN d.l4 <= d.b4 * 1.0001 THEN 'NO_MIR_EXCESS' WHEN d.own THEN 'BACKGROUND_UNAVAILABLE'
              WHEN d.l5 <= d.b5 THEN 'NO_TIR_EXCESS' WHEN h.t IS NULL THEN 'NO_ROOT'

@@ -142,8 +142,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rounded_centres(found: DataFrame) -> DataFrame:
+    """Centres to six decimals, so that engines that add in another order agree."""
+    return found.withColumns({c: F.round(c, 6) for c in ("centroid_lat", "centroid_lon")})
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keep(spark, sf_dir, "sources", lambda: cluster.cluster_sources(detections(spark, sf_dir)))
+    return _keep(
+        spark, sf_dir, "sources", lambda: rounded_centres(cluster.cluster_sources(detections(spark, sf_dir)))
+    )
 
 
 def annotated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,4 +166,5 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.build_records(scored(spark, sf_dir))
+    """The store's detection table, which all reads and roll-ups run on."""
+    return _keep(spark, sf_dir, "records", lambda: records.build_records(scored(spark, sf_dir)))
