@@ -81,13 +81,53 @@ class CandidateIndex:
     metric: Metric
 
 
+def _undominated(split: DataFrame, west0: float, south0: float, side: float, metric: Metric) -> DataFrame:
+    """Drop candidates that another one beats at every point of their cell.
+
+    The difference of two squared distances is linear along the box, so it is
+    enough to compare at the corners (and at both ends of the metric's scale).  Only
+    the facilities nearest to the corners and the centre are tried as winners, so a
+    cell costs five comparisons per candidate however many candidates it has.
+    """
+    west, south = F.col("ix") * side + west0, F.col("iy") * side + south0
+    split = split.withColumns({"w": west, "s": south})
+    k_min, k_max = metric.scale_range(F.col("s"), F.col("s") + side)
+
+    def squared(f: Column | None, x: Column, y: Column, k: Column) -> Column:
+        dx, dy = (x - (F.col("fx") if f is None else f.fx)) * k, y - (F.col("fy") if f is None else f.fy)
+        return dx * dx + dy * dy
+
+    # fixed values: corners and centre of the unit square
+    spots = [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.5)]
+    nearest = [
+        F.min_by(F.struct("fx", "fy"), squared(None, F.col("w") + u * side, F.col("s") + v * side, k_max))
+        for u, v in spots
+    ]
+    winners = split.groupBy("ix", "iy").agg(F.array_distinct(F.array(*nearest)).alias("winners"))
+    scales = [k_max] if metric.scale_range is Metric.scale_range else [k_min, k_max]
+
+    def beaten(f: Column) -> Column:
+        every = F.lit(True)
+        for u, v in spots[:4]:
+            for k in scales:
+                x, y = F.col("w") + u * side, F.col("s") + v * side
+                own, other = squared(None, x, y, k), squared(f, x, y, k)
+                every = every & (own - other > (own + other) * 1e-10)
+        return every
+
+    return (
+        split.join(winners, ["ix", "iy"])
+        .filter(~F.exists("winners", beaten))
+        .select("ix", "iy", "fx", "fy", "tie")
+    )
+
+
 def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric = PLANAR) -> CandidateIndex:
     """Cells with every facility that is nearest to some point of the cell.
 
     The root is a square around the region and all facilities.  A facility stays a
-    candidate of a cell unless another one is nearer to every point of it (its
-    least distance exceeds the smallest greatest distance).  Of facilities at one
-    position only the first by ``tie`` can win, so copies are dropped first.  For
+    candidate of a cell unless another one is nearer to every point of it.  Of
+    facilities at one position only the first by ``tie`` can win, so copies are dropped first.  For
     PLATE pass a box around the points (``over_points``) unless there are few sites.
 
     The way from a point beyond the root to its nearest facility crosses the root's
@@ -98,15 +138,14 @@ def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric
     Each round refines only cells that still have many candidates, and the number
     of rounds is limited by the smallest cell, not by the number of facilities.
     """
-    distinct = (
+    # Every level is checkpointed: it is read several times, and plans stay short.
+    distinct = cut_lineage(
         facilities.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(F.col(x).cast("double").alias("fx"), F.col(y).cast("double").alias("fy"))
         .agg(F.min(tie).alias("tie"))
-        .persist()
     )
     extent = distinct.agg(F.min("fx"), F.min("fy"), F.max("fx"), F.max("fy"), F.count(F.lit(1))).first()
     if not extent[4]:
-        distinct.unpersist()
         return CandidateIndex(None, (), 0, (0.0, 0.0, 1.0), metric)
     west0, south0 = min(metric.box[0], extent[0]), min(metric.box[1], extent[1])
     east0, north0 = max(metric.box[2], extent[2]), max(metric.box[3], extent[3])
@@ -114,7 +153,7 @@ def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric
     level = distinct.select(
         F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"), "fx", "fy", "tie"
     )
-    leaves, depths, held = [], [], [distinct]
+    leaves, depths = [], []
     most = 0 if extent[4] <= SMALL_REGISTRY else int(extent[4])
     for depth in range(MAX_DEPTH + 1):
         last = depth == MAX_DEPTH or most <= MAX_CANDIDATES
@@ -133,23 +172,7 @@ def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric
                 {"ix": F.col("ix") * FAN + F.col("c") % FAN, "iy": F.col("iy") * FAN + F.floor(F.col("c") / FAN)}
             )
         )
-        west, south = F.col("ix") * side + west0, F.col("iy") * side + south0
-        k_min, k_max = metric.scale_range(south, south + side)
-        near_x = F.greatest(F.lit(0.0), west - F.col("fx"), F.col("fx") - (west + side)) * k_min
-        near_y = F.greatest(F.lit(0.0), south - F.col("fy"), F.col("fy") - (south + side))
-        far_x = F.greatest(F.col("fx") - west, west + side - F.col("fx")) * k_max
-        far_y = F.greatest(F.col("fy") - south, south + side - F.col("fy"))
-        split = split.withColumns(
-            {"near": near_x * near_x + near_y * near_y, "far": far_x * far_x + far_y * far_y}
-        )
-        bound = split.groupBy("ix", "iy").agg(F.min("far").alias("bound"))
-        level = (
-            split.join(bound, ["ix", "iy"])
-            .filter(F.col("near") <= F.col("bound") * (1 + 1e-9))
-            .select("ix", "iy", "fx", "fy", "tie")
-            .persist()
-        )
-        held.append(level)
+        level = cut_lineage(_undominated(split, west0, south0, side, metric))
         most = level.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     table = leaves[0]
     for leaf in leaves[1:]:
@@ -165,8 +188,6 @@ def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric
         .groupBy("depth", "ix", "iy")
         .agg(F.collect_list(F.struct("tie", "fx", "fy")).alias("candidates"))
     )
-    for frame in held:
-        frame.unpersist()
     entries = table.agg(F.sum(F.size("candidates"))).first()[0] or 0
     return CandidateIndex(table, tuple(depths), int(entries), (west0, south0, size), metric)
 
