@@ -39,8 +39,8 @@ def ambient_from_frequencies(freq: DataFrame) -> DataFrame:
     incremental runs without reading old detections again.
     """
     low = F.coalesce(freq.agg(F.sum("n_low").alias("n")).select("n").scalar(), F.lit(0)) > 0
-    weight = F.when(low, F.col("n_low")).otherwise(F.col("n_all"))
-    return exact_quantile(freq, "bright_ti5", 0.5, weight=weight, name="ambient_K")
+    weighted = freq.select("bright_ti5", F.when(low, F.col("n_low")).otherwise(F.col("n_all")).alias("rows"))
+    return exact_quantile(weighted, "bright_ti5", 0.5, weight=F.col("rows"), name="ambient_K")
 
 
 def regional_ambient(df: DataFrame) -> DataFrame:
