@@ -11,7 +11,7 @@ def table(spark, n=240):
     columns = {c: F.lit(0.0) for c in K.FEATURES if c != "diurnal_shape"}
     columns |= {"t_fire_K": signal + F.col("u") * 100, "dT": F.col("u"), "log1p_frp_max": F.lit(3.0)}
     return df.select(
-        F.concat(F.lit("S"), "id").alias("source_id"), (F.col("id") % 12 * 2.0 + 9).alias("centroid_lat"), F.lit(75.0).alias("centroid_lon"),
+        F.concat(F.lit("S"), "id").alias("source_id"), (F.floor(F.col("id") / 3) % 12 * 2.0 + 9).alias("centroid_lat"), F.lit(75.0).alias("centroid_lon"),
         "label", F.lit("SPARSE").alias("diurnal_shape"), F.lit("real").alias("origin"), F.lit("P").alias("facility_name"),
         F.lit(100.0).alias("dist_facility_m"), *[v.alias(k) for k, v in columns.items()],
     )
