@@ -19,7 +19,7 @@ HEADLINE = [
     "weak_labels", "negative_controls", "registry_gaps", "spatial_folds", "conformal_quantile", "upsert_latest", "registry_dedupe",
     "pipeline_end_to_end",
 ]
-RUNS = 2
+RUNS = 1
 
 
 def main() -> None:
