@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyrogrid.llm.common import list_array, raw_texts
 
 # Entries kept per worker; the caches are emptied when full, results do not depend on them.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 # Longer strings are not kept.
 CACHED_CHARS = 64
 # New pre-tokens that share one queue.
@@ -213,9 +213,9 @@ class Encoder:
         return [b"".join([known[part] if part in known else found[part] for part in split]) for split in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        lengths = self.lengths[ids]
-        if len(ids) and lengths.min() < 0:
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and self.lengths[ids].min() >= 0):
             raise ValueError("id without a token")
+        lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
         at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ids) else 0)
         return self.blob[at].tobytes()

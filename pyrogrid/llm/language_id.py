@@ -39,11 +39,11 @@ class Model:
         self.languages, self.prior, self.table = languages, prior, table
 
 
-def _grams(parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets per position, first position per part) for each n-gram size."""
-    points, starts = layout([p.lower() for p in parts])
+def _grams(parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets per position, start and end of each part) for each n-gram size."""
+    points, starts, ends = layout([p.lower() for p in parts])
     for n in SIZES:
-        yield scramble(gram_hashes(points, n), BUCKETS), starts
+        yield scramble(gram_hashes(points, n), BUCKETS), starts, ends
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -63,9 +63,10 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
         for batch, texts in rows_of(batches):
             of = np.array([number[lang] for lang in batch.column(0).to_pylist()])
             for rows, parts in blocks([t.decode() for t in texts]):
-                for buckets, starts in _grams(parts):
-                    lengths = np.diff(np.append(np.minimum(starts, len(buckets)), len(buckets)))
-                    cells = buckets[starts[0] :] * len(number) + np.repeat(of[rows], lengths)
+                for buckets, starts, ends in _grams(parts):
+                    inside = np.zeros(len(buckets), dtype=bool)
+                    inside[np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])] = True
+                    cells = buckets[inside] * len(number) + np.repeat(of[rows], ends - starts)
                     table += np.bincount(cells, minlength=len(table))
         at = np.flatnonzero(table)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], names=["cell", "n"])
@@ -83,9 +84,9 @@ def log_likelihoods(model: Model, texts: list[str]) -> np.ndarray:
     """Texts by languages."""
     out = np.tile(model.prior, (len(texts), 1))
     for rows, parts in blocks(texts):
-        for buckets, starts in _grams(parts):
-            if len(buckets):
-                np.add.at(out, rows, np.add.reduceat(model.table[buckets].astype(np.float64), np.minimum(starts, len(buckets) - 1), axis=0))
+        for buckets, starts, ends in _grams(parts):
+            borders = np.column_stack((starts, ends)).ravel()
+            np.add.at(out, rows, np.add.reduceat(model.table[buckets].astype(np.float64), borders, axis=0)[::2])
     return out
 
 

@@ -1,6 +1,6 @@
 """Hashed n-grams of whole texts as numpy arrays, many texts at a time.
 
-Texts are laid out as code points with a separator between them.  Every function works
+Texts are laid out as code points with spaces between them.  Every function works
 on such a block; a text longer than a block is cut at white space into several rows
 that belong to the same document, so memory is bounded whatever a text's length.
 """
@@ -41,14 +41,21 @@ def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[np.ndar
         yield np.array(numbers), parts
 
 
-def layout(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of `` part part ... part `` and the first position of each part.
+# Spaces after each part: n-grams of up to one more than this never reach the next part's text.
+PAD = 3
 
-    Every part is preceded and followed by one space, so its borders are word borders.
+
+def layout(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all parts, each between one space and PAD spaces; and where each part, with its spaces, starts and ends.
+
+    The end of a part is behind its first closing space: n-grams that start before it
+    depend on that part alone.
     """
-    points = np.frombuffer((" " + " ".join(parts) + " ").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    shown = "".join([f" {part}{' ' * PAD}" for part in parts]) + " "
+    points = np.frombuffer(shown.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     lengths = np.array([len(p) for p in parts])
-    return points, np.cumsum(lengths + 1) - lengths
+    starts = np.cumsum(lengths + 1 + PAD) - (lengths + 1 + PAD)
+    return points, starts, starts + lengths + 2
 
 
 def scramble(values: np.ndarray, buckets: int) -> np.ndarray:

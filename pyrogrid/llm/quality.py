@@ -39,10 +39,9 @@ THRESHOLD = 0.7
 
 def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row of the part, bucket) of every feature occurrence of a block."""
-    points, starts = layout(parts)
+    points, starts, _ = layout(parts)
     blank = is_blank(points)
     part_of = np.repeat(np.arange(len(parts)), np.diff(np.append(starts, len(points))))
-    part_of = np.concatenate((np.zeros(starts[0], dtype=part_of.dtype), part_of))
     rows, buckets = [], []
     # Character n-grams with at most a border at either end.
     inner_blank = np.concatenate(([0], np.cumsum(blank)))
@@ -59,9 +58,9 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     if len(begins):
         ends = np.flatnonzero(~blank & np.concatenate((blank[1:], [True]))) + 1
-        place = np.arange(len(points)) - np.repeat(begins, np.diff(np.append(begins, len(points)))) if begins[0] == 0 else None
-        if place is None:
-            place = np.arange(len(points)) - np.repeat(np.append(0, begins), np.diff(np.concatenate(([0], begins, [len(points)]))))
+        # The text starts with a space, so there are positions before the first word.
+        heads = np.append(0, begins)
+        place = np.arange(len(points)) - np.repeat(heads, np.diff(np.append(heads, len(points))))
         mixed = (points + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)

@@ -51,7 +51,7 @@ SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])"
 TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.?[  ]\p{{Lu}}[\p{{L}}'’-]*\p{{Ll}}(?: \p{{Lu}}[\p{{L}}'’-]*\p{{Ll}})?(?!\p{{L}})"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.?[  ]\p{{Lu}}[\p{{L}}'’-]*\p{{L}}(?: \p{{Lu}}[\p{{L}}'’-]*\p{{L}})?(?!\p{{L}})"
 ENTITY = "|".join([EMAIL, ACCESS_KEY, SECRET, ADDRESS, ACCOUNT, SOCIAL, CARD, PHONE, NAME])
 
 
