@@ -27,6 +27,8 @@ from pyrogrid.session import stored
 
 CHAIN = 2
 THRESHOLD = 0.8
+# Successive ids that are read side by side.
+IDS_PER_BUCKET = 1024
 # Words that text of the four languages is made of: anchors, and further words that chains pass over.
 ANCHORS = (
     "the a an is was are that this with of to in and for "  # English
@@ -104,27 +106,43 @@ def fingerprint(sigs: Column) -> Column:
 def against_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of (doc_id, text) and of the edited texts, and how alike they and the next document are.
 
-    The edited text ends in the beginning of the next document.  A text moves once by
-    its id, and once more as the part that its predecessor takes from it.
+    The edited text ends in the beginning of the next document by descending id, the
+    first one's after the last.  Texts are shuffled once, in buckets of IDS_PER_BUCKET
+    successive ids, where the next document is the next row; only the document that
+    follows a bucket is fetched from another one.  Rows that repeat an id follow each
+    other by text; rows without id have no next document and their edit only shortens.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = texts.select("doc_id", F.length("text").alias("n"))
-    order = followers(docs).join(sizes, "doc_id")
-    order = stored(order.select(F.col("doc_id").alias("before_id"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 2).cast("int").alias("taken")), "order")
-    signed = texts.withColumn("sigs", signatures(F.col("text")))
-    heads = signed.join(order, "doc_id").select(
-        F.col("before_id").alias("doc_id"), F.substr("text", F.lit(1), F.col("taken")).alias("head"), F.col("sigs").alias("next_sigs")
+    bucket = F.floor(F.col("doc_id") / IDS_PER_BUCKET)
+    known = texts.filter(F.col("doc_id").isNotNull()).withColumn("bucket", bucket)
+    tops = known.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
+    after = followers(tops).select(bucket.alias("bucket"), F.col("next_id").alias("doc_id"))
+    # A bucket's neighbour may repeat its id: the first of those rows by text follows.
+    beyond = (
+        known.select("doc_id", "text").join(after, "doc_id").groupBy("bucket").agg(F.min("text").alias("text_beyond"))
+        .withColumn("sigs_beyond", signatures(F.col("text_beyond")))
     )
-    both = signed.join(heads, "doc_id", "left")
+    order = [F.desc("doc_id"), F.col("text")]
+    ordered = known.repartition("bucket").sortWithinPartitions("bucket", *order).withColumn("sigs", signatures(F.col("text")))
+    inside = Window.partitionBy("bucket").orderBy(*order)
+    led = ordered.withColumns({"next_text": F.lead("text").over(inside), "next_sigs": F.lead("sigs").over(inside)})
+    led = led.join(beyond, (led["bucket"] == beyond["bucket"]) & led["next_text"].isNull(), "left")
     n = F.length("text")
-    edited = F.concat(F.substr("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), F.coalesce("head", F.lit("")))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
-    both = both.withColumn("edited_sigs", signatures(F.col("edited")))
+    half = F.floor(n / 2).cast("int")
+    own = F.substr("text", F.lit(1), (n - half).cast("int"))
+    head = F.substr(F.coalesce("next_text", "text_beyond"), F.lit(1), half)
+    both = led.select(
+        "doc_id", n.cast("long").alias("n_chars"), "sigs", F.coalesce("next_sigs", "sigs_beyond").alias("next_sigs"), F.concat(own, head).alias("edited")
+    )
+    none = texts.filter(F.col("doc_id").isNull()).select(
+        "doc_id", n.cast("long").alias("n_chars"), signatures(F.col("text")).alias("sigs"),
+        F.array().cast("array<string>").alias("next_sigs"), own.alias("edited"),
+    )
+    both = both.unionByName(none).withColumn("edited_sigs", signatures(F.col("edited")))
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.coalesce("next_sigs", F.array().cast("array<string>"))).alias("near_next"),
+        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
 
 
