@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -146,13 +148,19 @@ def allowed_numbers(e: Column, fields: list[str] = EVIDENCE_FIELDS) -> Column:
     return F.filter(F.array_distinct(F.array(*numbers)), lambda n: n.isNotNull())
 
 
+# Every decimal digit beyond ASCII up to the end of the basic plane, zeros to nines of one script after another.
+OTHER_DIGITS = "".join(chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Nd")
+
+
 def number_tokens(text: Column) -> Column:
     """Standalone decimal numbers of a text.
 
-    A number counts only when no letter or digit of any script touches it, so
-    letters beyond ASCII are replaced before the ASCII word-boundary match.
+    A number counts only when no letter or digit of any script touches it.  Decimal
+    digits of other scripts count as the digits they are; letters and other numerals
+    beyond ASCII are replaced before the ASCII word-boundary match.
     """
-    plain = F.regexp_replace(text, r"[\p{L}\p{N}&&[^\x00-\x7F]]", "a")
+    plain = F.translate(text, OTHER_DIGITS, "0123456789" * (len(OTHER_DIGITS) // 10))
+    plain = F.regexp_replace(plain, r"[\p{L}\p{N}&&[^\x00-\x7F]]", "a")
     return F.regexp_extract_all(plain, F.lit(r"\b\d+(?:\.\d+)?\b"), 0)
 
 

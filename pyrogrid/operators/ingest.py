@@ -10,12 +10,15 @@ from pyrogrid.functions import geo
 from pyrogrid.sources.detections import ROW_ORDER, canonical_columns, require_columns
 
 NUMERIC_COLUMNS = ["latitude", "longitude", "bright_ti4", "bright_ti5", "scan", "track", "frp"]
+# Decimal and exponent notation, and the spellings of infinity; blanks around are ignored.
+NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?))\s*$"
 DUPLICATE_KEY = ["latitude", "longitude", "acq_utc", "satellite"]
 
 
 def to_number(column: Column) -> Column:
-    """Double, or null where the text is no number."""
-    return F.nanvl(column.try_cast("double"), F.lit(None).cast("double"))
+    """Double, or null where the text is no number (a type suffix as in ``300d`` makes it none)."""
+    plain = column.cast("string").rlike(NUMBER)
+    return F.when(plain, F.nanvl(column.try_cast("double"), F.lit(None).cast("double")))
 
 
 def parse_utc(acq_date: Column, acq_time: Column) -> Column:

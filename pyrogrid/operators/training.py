@@ -53,12 +53,12 @@ def training_rows(df: DataFrame) -> DataFrame:
     check_leakage()
     if "label" in df.columns:
         df = df.filter(~F.col("label").eqNullSafe(K.UNLABELLED))
-        bad = [r[0] for r in offending_labels(df).limit(20).collect()]
+        bad = [r[0] for r in offending_labels(df).collect()]
         if bad:
             raise ValueError(f"labels outside the known classes: {sorted(bad)}")
         df = df.withColumn("cls", F.col("label"))
     elif "cls" in df.columns:
-        bad = [r[0] for r in offending_labels(df, "cls").limit(20).collect()]
+        bad = [r[0] for r in offending_labels(df, "cls").collect()]
         if bad:
             raise ValueError(f"classes outside the known classes: {sorted(bad)}")
     else:

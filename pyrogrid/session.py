@@ -53,11 +53,13 @@ def local_session(app: str = "pyrogrid", cores: int | str = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make one only where none is named."""
+    """Use the cluster's checkpoint folder; make one only where none is named and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 

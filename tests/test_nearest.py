@@ -17,7 +17,6 @@ def brute(points, fac):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_split_index_equals_full_search(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(nearest, "SMALL_REGISTRY", 4)
     monkeypatch.setattr(nearest, "MAX_CANDIDATES", 6)
     if not broadcast:
         monkeypatch.setattr(nearest, "BROADCAST_ENTRIES", 0)
@@ -44,7 +43,6 @@ def test_split_index_equals_full_search(spark, monkeypatch, broadcast):
 
 
 def test_scaled_metric_equals_full_search(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "SMALL_REGISTRY", 4)
     monkeypatch.setattr(nearest, "MAX_CANDIDATES", 6)
     rng = np.random.default_rng(4)
     sites = pd.DataFrame({"registry_rank": [f"{i:04d}" for i in range(120)], "lat": rng.uniform(8, 35, 120), "lon": rng.uniform(68, 96, 120)})

@@ -8,11 +8,11 @@ from pyrogrid.operators.severity import severity
 from pyrogrid.sources.registry import seed_facilities
 
 BASE = dict(
-    source_id="S", centroid_lat=21.10, centroid_lon=72.64, n_hits=15, n_days=5, n_nights=10, night_frac=0.67, span_days=5,
-    frp_mean=50.0, frp_max=65.0, frp_median=48.0, frp_cv=0.2, ti4_median=350.0, ti4_max=365.0, ti5_median=293.0, dT_median=57.0,
-    ti4_std=4.0, local_solar_hour=22.0, pixel_area_m2=375.0**2, cluster_extent_m=800.0, fill_ratio=1.0, recurrence_gap_days=1.0,
-    flare_score=25.0, frp_derived_MW=50.0, diurnal_shape="FLAT_24H", t_fire_K=1650.0, landcover_class="built", t_bg_K=None,
-    last_seen="2026-09-01", deviation_z=None,
+    source_id="S", centroid_lat=21.113, centroid_lon=72.652, n_hits=24, n_days=8, n_nights=17, night_frac=0.7083, span_days=9,
+    frp_mean=37.5, frp_max=61.0, frp_median=35.0, frp_cv=0.31, ti4_median=347.2, ti4_max=366.9, ti5_median=294.1, dT_median=53.1,
+    ti4_std=5.5, local_solar_hour=1.5, pixel_area_m2=152_000.0, cluster_extent_m=640.0, fill_ratio=0.75, recurrence_gap_days=1.2,
+    flare_score=31.0, frp_derived_MW=44.0, diurnal_shape="FLAT_24H", t_fire_K=1710.0, landcover_class="built", t_bg_K=None,
+    last_seen="2026-08-14", deviation_z=None,
 )
 KINDS = {"source_id": "string", "diurnal_shape": "string", "landcover_class": "string", "last_seen": "string", "n_hits": "long", "n_days": "long", "n_nights": "long", "span_days": "long"}
 
@@ -32,8 +32,8 @@ def test_records(spark):
         {"centroid_lat": 21.2, "n_days": 1, "night_frac": 0.1, "t_fire_K": 300.0, "diurnal_shape": "SPARSE"},
         {"centroid_lat": 21.12, "centroid_lon": 72.64, "n_days": 2, "night_frac": 0.1, "diurnal_shape": "SPARSE", "t_fire_K": 300.0},
     )
-    assert flare["cls"] == "FLARE" and flare["conf"] == 0.9 and flare["co2e_rate_tph"] == 99.0
-    assert flare["co2e_total_t"] == round(flare["co2e_rate_tph"] * 5 * 24.0, 3)
+    assert flare["cls"] == "FLARE" and flare["conf"] == 0.9 and flare["co2e_rate_tph"] == 87.12
+    assert flare["co2e_total_t"] == round(flare["co2e_rate_tph"] * 9 * 24.0, 3)
     assert sea["cls"] == "UNRESOLVED" and sea["severity"] == "LOW" and sea["co2e_rate_tph"] is None and sea["conf"] == 0.1
     assert sea["cited_rule"] == "OFFSHORE-SUPPRESSED"
     assert crop["cls"] == "WILD" and crop["conf"] == 0.85 and crop["cited_rule"] == "CPCB-AGRICULTURAL-BURN"
