@@ -31,6 +31,8 @@ AVERAGE, LEAST, MOST = 4096, 1024, 32768
 DIGEST_BITS = 64
 # Differing contents of one digest are so rare that their list is broadcast; beyond this count it is joined.
 BROADCAST_CLASHES = 10_000
+# Rows of one recipe are dealt to this many keys, so that a group with a third of all rows is not one task's.
+SALTS = 256
 
 
 def _chunks(texts: list[bytes]) -> list[list[bytes]]:
@@ -114,9 +116,13 @@ def groups(docs: DataFrame, digest_bits: int = DIGEST_BITS, id_col: str = "doc_i
         own = own.select("row", "doc_id", "text_sha256", F.col("digests").alias("recipe"))
     else:
         own = stored(_numbered(own, own_texts, found, digest_bits), "recipes")
+    own = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     # Nulls order first in a struct, so a row with an id wins over one without.
-    best = own.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return own.join(best, "recipe").select(
+    parts = own.groupBy("recipe", "salt").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = parts.groupBy("recipe").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
+    # A group's result goes only to the keys that its rows have.
+    best = best.select("recipe", "best", "group_size", F.explode("salts").alias("salt"))
+    return own.join(best, ["recipe", "salt"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
     )
 
