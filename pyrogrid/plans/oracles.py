@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 
 from pyrogrid import constants as K
-from pyrogrid.functions.geo import _conic
 from pyrogrid.plans import workload as W
 
 
@@ -41,7 +40,8 @@ def _haversine(a: str, b: str, c: str, d: str) -> str:
 
 
 def _project(lat: str, lon: str) -> tuple[str, str]:
-    ecc, n, scale, rho0 = _conic()
+    # Eccentricity, cone constant, scaled radius and radius at the origin of the national conic, worked out apart.
+    ecc, n, scale, rho0 = 0.08181919084262149, 0.4066567058743961, 16736292.894709574, 14057213.876556948
     es = f"({ecc!r}::double * sin(radians({lat})))"
     t = f"(tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {es}) / (1 + {es}), {ecc / 2!r}::double))"
     rho = f"({scale!r}::double * pow({t}, {n!r}::double))"
@@ -177,6 +177,10 @@ CTES: dict[str, str] = {
           ({_lon.format(k='s_suppkey', n='s_suppkey')} + 1) / 1000.0::double AS lon,
           {_sectors}[s_nationkey % 8 + 1] AS sector, 'S' || s_nationkey AS state,
           CASE WHEN s_suppkey % 3 <> 0 THEN 1500.0::double + (s_suppkey % 5) * 500 END AS match_radius_m FROM supplier)""",
+    "dense": f"""
+      SELECT *, {_fx} AS x, {_fy} AS y FROM (
+        SELECT printf('ORD-%012d', o_orderkey) AS facility_id, (9000 + (o_orderkey * 7919) % 26000) / 1000.0::double AS lat,
+          (70000 + (o_orderkey * 10007) % 25000) / 1000.0::double AS lon FROM orders)""",
     "near": f"""
       SELECT source_id, d AS dist_facility_m, CASE WHEN d <= reach THEN facility_id END AS facility_id,
         CASE WHEN d <= reach THEN name END AS facility_name, CASE WHEN d <= reach THEN sector END AS facility_sector,

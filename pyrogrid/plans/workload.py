@@ -123,6 +123,19 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dense_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry of one site per row of ``orders``, spread over the whole region."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.format_string("ORD-%012d", k).alias("facility_id"),
+        F.concat(F.lit("Site "), k.cast("string")).alias("name"),
+        ((F.lit(9000) + (k * 7919) % 26000) / 1000).alias("lat"),
+        ((F.lit(70000) + (k * 10007) % 25000) / 1000).alias("lon"),
+        F.lit("POWER").alias("sector"), F.lit("").alias("district"), F.lit("").alias("state"),
+        F.lit("MANUAL").alias("source_of_truth"), F.lit(1e7).alias("match_radius_m"),
+    )
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse land-cover pixels from ``lineitem``."""
     m = F.col("l_orderkey") * 8 + F.col("l_linenumber")

@@ -15,6 +15,17 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def versions(spark: SparkSession, root: str, name: str) -> list[tuple[int, str]]:
     """Complete versions of a table, oldest first.  A version counts once committed."""
     p, fs = _path(spark, f"{root}/{name}")

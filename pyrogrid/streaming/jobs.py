@@ -17,7 +17,9 @@ from pyrogrid.operators import cluster, features, ingest, landcover, records, sc
 from pyrogrid.sources import store
 from pyrogrid.sources.detections import ROW_ORDER, canonical_columns
 
-DEDUPE_WATERMARK = "10 days"
+# Versions of a store table that readers may still be using when a batch ends.
+KEEP_VERSIONS = 3
+REWRITTEN = ["sources", "detections", "tir_counts", "pipeline_runs"]
 
 
 def landing_stream(spark: SparkSession, directory: str, columns: list[str], files_per_batch: int | None = None) -> DataFrame:
@@ -31,16 +33,59 @@ def landing_stream(spark: SparkSession, directory: str, columns: list[str], file
     )
 
 
-def drop_repeats(clean: DataFrame, keys: list[str] = ingest.DUPLICATE_KEY) -> DataFrame:
-    """Stateful duplicate removal on a stream, with state bounded by the watermark."""
-    return clean.withWatermark("acq_utc", DEDUPE_WATERMARK).dropDuplicatesWithinWatermark(keys)
+def stored_rows(spark: SparkSession, root: str, blocks: list[str], up_to: int) -> DataFrame | None:
+    """Clean rows of the given blocks from batches up to one; only the folders of these blocks are listed."""
+    paths = [f"{root}/clean/block_id={b}" for b in blocks]
+    paths = [p for p in paths if store.exists(spark, p)]
+    if not paths:
+        return None
+    rows = spark.read.option("basePath", f"{root}/clean").parquet(*paths)
+    return rows.filter(F.col("batch") <= up_to).withColumn("block_id", F.col("block_id").cast("string"))
 
 
-def _clean_history(spark: SparkSession, root: str, up_to: int) -> DataFrame | None:
-    path, fs = store._path(spark, f"{root}/clean")
-    if not fs.exists(path):
-        return None
-    return spark.read.parquet(f"{root}/clean").filter(F.col("batch") <= up_to).drop("batch")
+def ingest_batch(batch: DataFrame, batch_id: int, root: str) -> tuple[int, list[str]]:
+    """Append the new clean rows of one batch; returns their number and blocks.
+
+    Rows are kept by 2-degree block and batch.  Repeats of earlier rows are found
+    whatever their age: a repeat has the position and time of the first row, so only
+    the batch's own blocks and days are read again.  A repeated batch replaces its
+    own partitions and nothing else.
+    """
+    spark = batch.sparkSession
+    raw = canonical_columns(batch.drop("_file", "_block"))
+    if "_file" in batch.columns:
+        position = F.struct(F.col("_file"), F.col("_block"), F.monotonically_increasing_id().alias("line"))
+        raw = canonical_columns(batch.withColumn(ROW_ORDER, position).drop("_file", "_block"))
+    rows = ingest.normalise(raw).withColumn("block_id", geo.block_id(F.col("latitude"), F.col("longitude")))
+    staging = f"{root}/staging/batch={batch_id}"
+    rows.write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    # Block names are few (a block is two degrees wide), so they may be listed.
+    found = staged.groupBy("block_id").agg(F.min("acq_date").alias("low"), F.max("acq_date").alias("high")).collect()
+    blocks = sorted(r["block_id"] for r in found)
+    known = stored_rows(spark, root, blocks, batch_id - 1)
+    if known is not None:
+        days = F.col("acq_date").between(min(r["low"] for r in found), max(r["high"] for r in found))
+        keys = ["block_id", *ingest.DUPLICATE_KEY]
+        staged = staged.join(known.filter(days).select(*keys), keys, "left_anti")
+    staged = staged.withColumn("batch", F.lit(batch_id))
+    writer = staged.repartition("block_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("block_id", "batch").parquet(f"{root}/clean")
+    store.remove(spark, staging)
+    fresh = stored_rows(spark, root, blocks, batch_id)
+    if fresh is None:
+        return 0, []
+    counts = fresh.filter(F.col("batch") == batch_id).groupBy("block_id").count().collect()
+    return sum(r["count"] for r in counts), sorted(r["block_id"] for r in counts)
+
+
+def start_ingest(stream: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Only the first step of ``start``: clean rows without repeats, batch by batch."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, batch_id, root)
+
+    return _run(stream, handle, checkpoint, once)
 
 
 def process_batch(
@@ -55,7 +100,7 @@ def process_batch(
 ) -> None:
     """Fold one batch of raw rows into the store.
 
-    Clean rows are appended in one folder per batch, split by 2-degree block.  Only
+    Clean rows are appended by 2-degree block and batch.  Only
     the cells the batch touches are aggregated again, from the blocks they lie in.
     The ambient median is kept exact by adding value counts, and sources that rely
     on it are refreshed when it moves.  Every table version is named by the batch,
@@ -71,27 +116,11 @@ def process_batch(
         times[stage] = times.get(stage, 0.0) + (time.perf_counter() - begin) * 1000
         return out
 
-    def ingest_rows() -> tuple[int, list[str]]:
-        raw = canonical_columns(batch.drop("_file", "_block"))
-        if "_file" in batch.columns:
-            position = F.struct(F.col("_file"), F.col("_block"), F.monotonically_increasing_id().alias("line"))
-            raw = canonical_columns(batch.withColumn(ROW_ORDER, position).drop("_file", "_block"))
-        rows = ingest.normalise(raw).withColumn("block_id", geo.block_id(F.col("latitude"), F.col("longitude")))
-        known = _clean_history(spark, root, batch_id - 1)
-        if known is not None:
-            rows = rows.join(known.select(*ingest.DUPLICATE_KEY), ingest.DUPLICATE_KEY, "left_anti")
-        target = f"{root}/clean/batch={batch_id}"
-        rows.write.mode("overwrite").partitionBy("block_id").parquet(target)
-        # Block names are few (a block is two degrees wide), so they may be listed.
-        counts = spark.read.schema(rows.schema).parquet(target).groupBy("block_id").count().collect()
-        return sum(r["count"] for r in counts), [r["block_id"] for r in counts]
-
-    n_raw, blocks = timed("VIIRS INGEST", ingest_rows)
+    n_raw, blocks = timed("VIIRS INGEST", lambda: ingest_batch(batch, batch_id, root))
     if not n_raw:
         _record(spark, root, batch_id, 0, 0, times, "EMPTY")
         return
-    fresh = spark.read.parquet(f"{root}/clean").filter(F.col("batch") == batch_id)
-    fresh = fresh.withColumn("block_id", F.col("block_id").cast("string"))
+    fresh = stored_rows(spark, root, blocks, batch_id).filter(F.col("batch") == batch_id).drop("batch")
 
     def cluster_rows() -> None:
         old_freq = store.read_table(spark, root, "tir_counts", before=version)
@@ -103,7 +132,7 @@ def process_batch(
         store.publish(freq, root, "tir_counts", version)
         ambient = cluster.ambient_from_frequencies(store.read_table(spark, root, "tir_counts"))
         touched = cluster.with_cells(fresh, cell_deg).select(*cluster.CELL).distinct()
-        history = _clean_history(spark, root, batch_id).filter(F.col("block_id").isin(blocks))
+        history = stored_rows(spark, root, blocks, batch_id).drop("batch")
         rows = cluster.with_cells(history, cell_deg).join(touched, cluster.CELL, "left_semi").drop(*cluster.CELL)
         sources = cluster.cluster_sources(rows, cell_deg, ambient=ambient).withColumn("changed_in", F.lit(version))
         sources = landcover.annotate_landcover(sources, pixels, tile_pixels)
@@ -134,6 +163,8 @@ def process_batch(
 
     n_sources = timed("CLASSIFY", write_records)
     _record(spark, root, batch_id, n_raw, n_sources, times, "SUCCESS")
+    for name in REWRITTEN:
+        store.drop_old_versions(spark, root, name, KEEP_VERSIONS)
 
 
 def _record(spark, root, batch_id, n_raw, n_sources, times, status) -> None:
@@ -160,6 +191,10 @@ def start(
     def handle(batch: DataFrame, batch_id: int) -> None:
         process_batch(batch, batch_id, root, facilities, **options)
 
+    return _run(stream, handle, checkpoint, once)
+
+
+def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     trigger = {"availableNow": True} if once else {"processingTime": f"{K.POLL_SECONDS} seconds"}
     return writer.trigger(**trigger).start()

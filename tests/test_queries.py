@@ -14,7 +14,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 SOME = [
     "clean_detections", "mainland_filter", "dedupe_detections", "cluster_sources", "diurnal_hist", "retrieve_temperature", "nearest_facility",
     "landcover_majority", "classify_rules", "detection_records", "class_probabilities", "narrative", "narrative_guard", "funnel", "stats_by_class",
-    "facility_profiles", "persistent_cells", "upsert_latest",
+    "facility_profiles", "persistent_cells", "upsert_latest", "nearest_facility_dense", "profile_persistent", "landed_scan", "data_checks",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="shared test tables not present")
 

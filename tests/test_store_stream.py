@@ -52,6 +52,25 @@ def test_batches_give_the_batch_result_and_may_be_repeated(spark, tmp_path):
     assert spark.sql("select count(*) from v_detections").first()[0] == len(expected)
 
 
+def test_repeats_are_found_whatever_their_age(spark, tmp_path):
+    root = str(tmp_path / "store")
+    texts = ", ".join(f"{c} string" for c in HEADER)
+
+    def batch(name, lines):
+        land(tmp_path, name, lines)
+        return spark.read.schema(texts).option("header", True).csv(str(tmp_path / name))
+
+    first, later = rows(2, 20), rows(28, 5, 4)
+    assert jobs.ingest_batch(batch("a.csv", first), 0, root)[0] == 20
+    assert jobs.ingest_batch(batch("b.csv", later), 1, root)[0] == 5
+    assert jobs.ingest_batch(batch("c.csv", first[:7] + later + rows(3, 2)), 2, root)[0] == 2
+    # Nothing new, and the same batch again.
+    assert jobs.ingest_batch(batch("d.csv", first), 3, root) == (0, [])
+    assert jobs.ingest_batch(batch("c.csv", first[:7] + later + rows(3, 2)), 2, root)[0] == 2
+    assert spark.read.parquet(f"{root}/clean").count() == 27
+    assert not store.exists(spark, f"{root}/staging/batch=2")
+
+
 def test_upsert_and_old_versions(spark, tmp_path):
     root = str(tmp_path)
     for batch in range(5):
