@@ -669,6 +669,7 @@ def _site_tables(spark, sf) -> list[DataFrame]:
     trackers = customer.filter(c % 2 == 0).select(
         F.lit("India").alias("Country"), ((lat + c % 4) / 1000).alias("Latitude"), (lon / 1000).alias("Longitude"),
         F.col("c_name").alias("Name"),
+        F.struct(F.lit("trackers").alias("file"), F.lit(0).alias("block"), c.alias("line")).alias(W.ROW_ORDER),
     )
     elements = customer.filter(c % 2 == 1).select(
         F.lit("node").alias("type"), c.alias("id"), ((lat + c % 4 + 1) / 1000).alias("lat"), ((lon + 1) / 1000).alias("lon"),
@@ -682,12 +683,60 @@ def _site_tables(spark, sf) -> list[DataFrame]:
     return [sites.tracker_sites(trackers, "steel"), sites.map_sites(elements), manual]
 
 
-@query()
+# The merge as a recursion over the positions in (lat, lon) order that carries the groups still within reach.
+MERGE_SQL = """, places AS (
+    SELECT c_custkey AS k, c_name AS name, upper(c_mktsegment) AS segment, c_custkey % 2 AS odd,
+      9500 + (c_custkey % 25) * 900 + (c_custkey % 10) * 4 + c_custkey % 4 + c_custkey % 2 AS la,
+      74000 + ((c_custkey // 25) % 10) * 2000 + (c_custkey % 9) * 4 + c_custkey % 2 AS lo FROM customer),
+  sites_m AS (
+    SELECT name, la / 1000.0::double AS lat, lo / 1000.0::double AS lon, 'STEEL' AS sector, 'GEM' AS source,
+      '0/' || printf('%020d', k) AS rnk FROM places WHERE odd = 0
+    UNION ALL
+    SELECT name, la / 1000.0::double, lo / 1000.0::double, segment, 'OSM', '1/' || printf('%020d', k) FROM places WHERE odd = 1
+      QUALIFY row_number() OVER (PARTITION BY la, lo ORDER BY k) = 1
+    UNION ALL
+    SELECT name, lat, lon, sector, 'MANUAL', '2/' || facility_id FROM fac),
+  positions AS (
+    SELECT lat, lon, count(*) AS n, arg_min(name, rnk) AS name, arg_min(CASE WHEN sector = 'industrial' THEN 'UNKNOWN' ELSE sector END, rnk) AS sector,
+      arg_min(sector, rnk) FILTER (WHERE sector NOT IN ('industrial', 'UNKNOWN', '')) AS known, list(DISTINCT source) AS sources,
+      row_number() OVER (ORDER BY lat, lon) AS rk FROM sites_m GROUP BY lat, lon),
+  sweep AS (
+    SELECT 0::bigint AS rk, []::STRUCT(lat DOUBLE, lon DOUBLE, n BIGINT, name VARCHAR, sector VARCHAR, sources VARCHAR[], rk BIGINT)[] AS held,
+      []::STRUCT(lat DOUBLE, lon DOUBLE, n BIGINT, name VARCHAR, sector VARCHAR, sources VARCHAR[], rk BIGINT)[] AS closed
+    UNION ALL
+    SELECT rk, CASE WHEN list_min(apart) <= 500 THEN list_transform(near, lambda g, i: CASE WHEN i = list_position(apart, list_min(apart)) THEN
+          struct_pack(lat := (g.lat * g.n + lat * n) / (g.n + n), lon := (g.lon * g.n + lon * n) / (g.n + n), n := g.n + n, name := g.name,
+            sector := CASE WHEN g.sector = 'UNKNOWN' THEN coalesce(known, 'UNKNOWN') ELSE g.sector END, sources := list_concat(g.sources, sources), rk := g.rk)
+          ELSE g END)
+        ELSE list_append(near, struct_pack(lat := lat, lon := lon, n := n, name := name,
+          sector := CASE WHEN sector = 'UNKNOWN' THEN coalesce(known, 'UNKNOWN') ELSE sector END, sources := sources, rk := rk)) END, gone
+    FROM (SELECT *, list_transform(near, lambda g: {metres}) AS apart
+      FROM (SELECT s.*, list_filter(p.held, lambda g: s.lat - g.lat <= {reach}) AS near, list_filter(p.held, lambda g: s.lat - g.lat > {reach}) AS gone
+        FROM sweep p JOIN positions s ON s.rk = p.rk + 1))),
+  merged AS (
+    SELECT unnest(closed) AS g FROM sweep
+    UNION ALL SELECT unnest(held) FROM sweep WHERE rk = (SELECT max(rk) FROM sweep)),
+  registered AS (
+    SELECT printf('FAC-%03d', row_number() OVER (ORDER BY g.rk)) AS facility_id, g.name AS name, round_even(g.lat, 6) AS lat, round_even(g.lon, 6) AS lon,
+      coalesce(g.sector, 'UNKNOWN') AS sector, list_sort(list_distinct(g.sources)) AS sources FROM merged)
+""".format(
+    metres=oracles._haversine("lat", "lon", "g.lat", "g.lon"),
+    # Latitude steps of 500 m and a little more: what lies farther back can never be met again.
+    reach="degrees(500 / 6371000.0::double) * 1.000000001::double",
+)
+
+
+@query(MERGE_SQL + "SELECT facility_id, name, lat, lon, sector, array_to_string(sources, ',') AS sources FROM registered")
 def registry_dedupe(spark, sf):
-    return registry.build_registry(*_site_tables(spark, sf))
+    built = registry.build_registry(*_site_tables(spark, sf))
+    return built.select("facility_id", "name", "lat", "lon", "sector", F.array_join("sources", ",").alias("sources"))
 
 
-@query()
+@query(
+    MERGE_SQL
+    + """SELECT 'sector' AS kind, sector AS name, count(*) AS n FROM registered GROUP BY ALL
+       UNION ALL SELECT 'source', s, count(*) FROM (SELECT unnest(sources) AS s FROM registered) GROUP BY ALL"""
+)
 def registry_distributions(spark, sf):
     built = registry.build_registry(*_site_tables(spark, sf))
     by_sector = registry.sector_distribution(built).select(F.lit("sector").alias("kind"), F.col("sector").alias("name"), "n")
@@ -829,11 +878,35 @@ def block_summary(spark, sf):
 @query()
 def forest_scores(spark, sf):
     """Forest trained on the weak labels, scoring every source."""
-    fac = W.facilities(spark, sf)
-    table = training.materialise(_labelled(spark, sf), fac)
-    model = training.train(table, trees=20, depth=5, folds=3)
-    found = model.score(W.feature_rows(spark, sf))
-    return found.select("source_id", "cls", "conf", "lo", "hi", "offshore_suppressed")
+    return _forest(spark, sf).select("source_id", "cls", "conf", "lo", "hi", "offshore_suppressed")
+
+
+def _forest(spark, sf, **size) -> DataFrame:
+    table = training.materialise(_labelled(spark, sf), W.facilities(spark, sf))
+    return training.train(table, **(size or {"trees": 20, "depth": 5, "folds": 3})).score(W.feature_rows(spark, sf))
+
+
+@query(
+    """SELECT id AS source_id, offshore_suppressed, CASE WHEN offshore_suppressed THEN 'UNRESOLVED' ELSE 'learned' END AS class_from,
+         TRUE AS sums_to_one, TRUE AS conf_of_class, TRUE AS interval_clipped, CASE WHEN offshore_suppressed THEN 0.1::double ELSE 1.0::double END AS conf_bound,
+         TRUE AS conf_in_bound, 3 AS n_top, TRUE AS top_in_order FROM records"""
+)
+def forest_facts(spark, sf):
+    """What holds for every source scored by a forest, and which sources it suppresses."""
+    learned = _labelled(spark, sf).filter(F.col("label") != K.UNLABELLED).agg(F.collect_set("label")).scalar()
+    found = _forest(spark, sf)
+    off, conf = F.col("offshore_suppressed"), F.col("conf")
+    sizes = F.transform("top_features", lambda t: F.abs(t["contribution"]))
+    bound = F.when(off, 0.1).otherwise(1.0)
+    clipped = (F.col("lo") >= 0) & (F.col("hi") <= 1) & conf.between(F.col("lo"), F.col("hi"))
+    return found.select(
+        "source_id", off,
+        F.when(off, F.col("cls")).when(F.array_contains(learned, F.col("cls")), "learned").alias("class_from"),
+        (F.abs(F.aggregate(F.map_values("probs"), F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9).alias("sums_to_one"),
+        (F.abs(F.element_at("probs", F.col("cls")) - conf) < 1e-9).alias("conf_of_class"), clipped.alias("interval_clipped"),
+        bound.alias("conf_bound"), (conf <= bound).alias("conf_in_bound"), F.size("top_features").alias("n_top"),
+        (F.array_sort(sizes) == F.reverse(sizes)).alias("top_in_order"),
+    )
 
 
 # --- store, dispatch, checks, streams -----------------------------------------------------------------

@@ -72,7 +72,7 @@ def landed_file_report(spark: SparkSession, directory: str) -> DataFrame:
     for file, line in headers(spark, list_files(spark, directory)).items():
         first = (line or "").split(",", 1)[0].strip().lower()
         status = "empty" if line is None else "accepted" if first in KNOWN_FIRST_COLUMNS else "quarantined"
-        rows.append((file, status, (line or "")[:120]))
+        rows.append((file, status, line or ""))
     return spark.createDataFrame(rows, "file string, status string, header string")
 
 
