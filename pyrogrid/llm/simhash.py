@@ -132,9 +132,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one that names it.
+    """The rows of ``docs`` that stay: of each component the row with the smallest id.
 
-    Rows without id name nothing; they stay only where their whole component lacks ids.
+    Rows without id stay only where their whole component lacks ids, and of rows that
+    repeat an id, or all lack one, one stays per component.
     """
-    kept = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    own = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    prints = stored(fingerprints(texts_of(own, "_row"), SHINGLE), "fingerprints")
+    found = connected_components(stored(links(prints.select("fp").distinct()), "links"))
+    placed = prints.join(found, prints["fp"] == found["node"], "left").select(F.col("doc_id").alias("_row"), F.coalesce("component", "fp").alias("_root"))
+    # Nulls order first in a struct, so whether the id is missing comes before it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    kept = own.select("doc_id", "_row").join(placed, "_row").groupBy("_root").agg(first).select("first._row")
+    return own.join(kept, "_row", "left_semi").select(docs.columns)

@@ -143,6 +143,13 @@ def test_simhash_without_ids_and_without_rows(spark):
     assert simhash.components(frame(spark, [])).count() == 0
 
 
+def test_near_copies_go_whatever_their_ids(spark):
+    one, two, three, four = (words(s, 60) for s in (61, 62, 63, 64))
+    rows = [(None, one), (None, one), (None, two), (5, two), (7, three), (7, three), (3, four), (7, four), (None, four)]
+    kept = simhash.keep_one(frame(spark, rows))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", one), ("5", two), ("7", three), ("3", four)])
+
+
 def test_substring_spans_cover_passages_and_spare_the_rest(spark):
     passage, line = words(50, 60), words(51, 9)
     rows = [(i, f"{words(100 + i, 80)}\n{line}\n{words(200 + i, 50)}") for i in range(8)]
