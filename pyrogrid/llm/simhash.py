@@ -13,6 +13,10 @@ and only links leave the join.
 
 A null or empty text, and one without words, has fingerprint zero and links like any
 other.  Rows without id take part but never name a component (unless all lack one).
+
+Near copies by Jaccard similarity of longer shingles differ in more bits than any
+multi-index affords (about ten of 64 at 0.8), so they are met by bands of minima of the
+shingle sets and verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -25,28 +29,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyrogrid.llm.common import rows_of, texts_of
+from pyrogrid.llm.common import list_array, rows_of, texts_of
 from pyrogrid.operators.registry import connected_components
 from pyrogrid.session import stored
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
+# Two sets at Jaccard similarity 0.8 share no band key with probability (1 - 0.8 ** 3) ** 24 = 3e-8.
+BANDS, BAND_ROWS = 24, 3
+_random = np.random.RandomState(SEED)
+MULTIPLY = _random.randint(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FLIP = _random.randint(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of one text."""
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """64-bit hashes of the word shingles in order; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()  # bytes: A to Z, and the white space of ASCII
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: len(words) - shingle].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: len(words) - shingle].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of one text."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     bits = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65536):
         block = np.array(hashes[k : k + 65536], dtype=">u8")
@@ -131,16 +146,94 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _band_keys(own: np.ndarray) -> np.ndarray:
+    """BANDS keys of a shingle set: each digests BAND_ROWS minima of the set under own orders."""
+    if not len(own):
+        return np.empty(0, dtype=np.int64)
+    least = np.full(len(MULTIPLY), 2**64 - 1, dtype=np.uint64)
+    for k in range(0, len(own), 8192):
+        least = np.minimum(least, ((own[k : k + 8192] ^ FLIP[:, None]) * MULTIPLY[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """(doc_id, digest, size, keys, hashes) of (doc_id, text): the set of shingles, listed only if ``whole``."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, dtype=np.int64)
+        for batch, texts in rows_of(batches):
+            own = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)) for t in texts]
+            columns = [
+                batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int32()),
+                list_array([_band_keys(s) for s in own], pa.int64()), list_array([s.view(np.int64) if whole else none for s in own], pa.int64()),
+            ]
+            yield pa.record_batch(columns, names=["doc_id", "digest", "size", "keys", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, digest binary, size int, keys array<long>, hashes array<long>")
+
+
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two lists of different hashes have this Jaccard similarity."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both) >= similarity
+
+
+def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, root) of (doc_id, text) with unique ids: connected by Jaccard ``similarity`` of the word shingles.
+
+    Texts of equal sets are one.  Sets that share a band key are candidates, and every
+    link is verified on the whole sets.  A key's sets are first compared with its
+    smallest one; then only those that are not yet connected are compared with each other.
+    """
+    own = stored(shingle_sets(docs, shingle, False).drop("hashes"), "bands")
+    distinct = own.groupBy("digest").agg(F.min("doc_id").alias("set"))
+    once = own.join(distinct.select(F.col("set").alias("doc_id")), "doc_id", "left_semi")
+    each = stored(once.select(F.col("doc_id").alias("set"), "size", F.explode("keys").alias("key")), "keys")
+    keys = each.groupBy("key").agg(F.min("set").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hits = stored(each.join(keys, "key"), "hits")
+    some = docs.join(hits.select(F.col("set").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = stored(shingle_sets(some, shingle, True).select(F.col("doc_id").alias("set"), "keys", "hashes"), "sets")
+
+    stars = hits.filter("set <> least").select("set", F.col("least").alias("src")).distinct()
+    stars = stars.join(sets.select("set", F.col("hashes").alias("a")), "set").withColumnRenamed("set", "dst")
+    stars = stars.join(sets.select(F.col("set").alias("src"), F.col("hashes").alias("b")), "src")
+    first = stored(stars.filter(_alike("a", "b", similarity)).select("src", "dst"), "links")
+
+    found = connected_components(first)
+    placed = hits.filter("set <> least and n > 2").join(found, F.col("set") == F.col("node"), "left").withColumn("part", F.coalesce("component", "set"))
+    placed = stored(placed.select("key", "set", "size", "part"), "placed")
+    open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    rest = stored(placed.join(open_, "key").join(sets, "set"), "open")
+    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "size", "part", "keys", "hashes")]) for x in "ab")
+    close = F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= similarity
+    # Of the keys that two sets share, the smallest compares them.
+    here = F.array_min(F.array_intersect("keys_a", "keys_b")) == a["key"]
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("set_a") < F.col("set_b")) & (F.col("part_a") != F.col("part_b")) & close & here & _alike("hashes_a", "hashes_b", similarity))
+    second = stored(met.select(F.col("set_a").alias("src"), F.col("set_b").alias("dst")), "links")
+
+    if not second.isEmpty():
+        found = connected_components(first.unionByName(second))
+    named = distinct.join(found, F.col("set") == F.col("node"), "left").select("digest", F.coalesce("component", "set").alias("root"))
+    return own.join(named, "digest").select("doc_id", "root")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id.
 
-    Rows without id stay only where their whole component lacks ids, and of rows that
-    repeat an id, or all lack one, one stays per component.
+    Rows are linked by fingerprints at DISTANCE or less, or, where a ``similarity`` is
+    given, by that Jaccard similarity of their sets of shingles.  Rows without id stay
+    only where their whole component lacks ids, and of rows that repeat an id, or all
+    lack one, one stays per component.
     """
     own = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    prints = stored(fingerprints(texts_of(own, "_row"), SHINGLE), "fingerprints")
-    found = connected_components(stored(links(prints.select("fp").distinct()), "links"))
-    placed = prints.join(found, prints["fp"] == found["node"], "left").select(F.col("doc_id").alias("_row"), F.coalesce("component", "fp").alias("_root"))
+    if similarity is None:
+        prints = stored(fingerprints(texts_of(own, "_row"), shingle), "fingerprints")
+        found = connected_components(stored(links(prints.select("fp").distinct()), "links"))
+        placed = prints.join(found, prints["fp"] == found["node"], "left").select("doc_id", F.coalesce("component", "fp").alias("root"))
+    else:
+        placed = similar_groups(texts_of(own, "_row"), shingle, similarity)
+    placed = placed.select(F.col("doc_id").alias("_row"), F.col("root").alias("_root"))
     # Nulls order first in a struct, so whether the id is missing comes before it.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     kept = own.select("doc_id", "_row").join(placed, "_row").groupBy("_root").agg(first).select("first._row")

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pyrogrid.llm import exact_dedup, simhash, substring_dedup
 from pyrogrid.llm.chunking import gear_hash, masked_cuts, peak_cuts
 from pyrogrid.llm.common import prepared
@@ -150,6 +151,34 @@ def test_near_copies_go_whatever_their_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", one), ("5", two), ("7", three), ("3", four)])
 
 
+def naive_similar(rows, similarity=0.8):
+    """Of each group connected by all-pairs Jaccard of five-word shingles the smallest id."""
+    parts = {i: lowered(t).split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in parts.items()}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return set(root.values())
+
+
+def test_near_dedup_stage_equals_all_pairs_jaccard(spark):
+    draw = random.Random(8)
+    rows, base = [], [words(s, 120) for s in range(500, 506)]
+    for i in range(150):
+        text = draw.choice(base).split()
+        for _ in range(draw.choice((0, 1, 2, 3, 4, 6))):
+            text[draw.randrange(len(text))] = words(9000 + i, 1) + draw.choice("xyz")
+        rows.append((i, " ".join(text)))
+    rows += [(200, None), (201, ""), (202, " \t\n"), (203, "one"), (204, "One two"), (205, "one  TWO"), (206, LONG), (207, LONG + " more")]
+    rows += [(208, " ".join("abcdefgh")), (209, " ".join("abcdefghi"))]
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(naive_similar(rows))
+    assert corpus_pipeline.drop_near_copies(spark, frame(spark, []), "").count() == 0
+
+
 def test_substring_spans_cover_passages_and_spare_the_rest(spark):
     passage, line = words(50, 60), words(51, 9)
     rows = [(i, f"{words(100 + i, 80)}\n{line}\n{words(200 + i, 50)}") for i in range(8)]
