@@ -7,6 +7,10 @@ surrogate comes from a keyed hash, so one value has one surrogate in every docum
 format, and is poured back into the shape it was found in: separators, case, country
 code, card network and check digits, top-level domain, title, gender and script stay.
 
+A name is one or more titles with the initials, particles and name words after them; the
+last word is the surname.  Titles and particles stay.  Other mentions of its words in the
+same text, written with a capital, get the same surrogates.
+
 Distinct units are gathered once.  Where two share a surrogate, or a surrogate is
 itself a value of the corpus, all but the first are hashed again at the next level until
 none clash.  Texts look up only those few raised levels; all else is computed in place.
@@ -51,7 +55,17 @@ SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])"
 TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.?[  ]\p{{Lu}}[\p{{L}}'’-]*\p{{L}}(?: \p{{Lu}}[\p{{L}}'’-]*\p{{L}})?(?!\p{{L}})"
+# Titles in a row, then name words with initials and particles between or before them; a possessive s is no part of a word.
+SPACE = "[ \u00a0]"
+TITLED = rf"(?:{TITLE}\.?{SPACE})++"
+WORD = rf"(?!{TITLE}\.?{SPACE})\p{{Lu}}(?:\p{{L}}|['’-](?![sS](?!\p{{L}}))(?=\p{{L}}))++"
+INITIALS = r"(?:(?:\p{Lu}\.-?)++(?:\p{Lu}(?![\p{L}.'’]))?|\p{Lu})(?![\p{L}'’])"
+PARTICLE = rf"(?:von und zu|(?:von|van|vom|de|del|della|di|da|du|dos|ten|ter)(?:{SPACE}(?:der|den|dem|la|las|los|le))?)"
+BEFORE = rf"(?:(?:{INITIALS}|{PARTICLE}){SPACE}|d['’]|\p{{Lu}}\.-?(?=\p{{Lu}}))*+"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLED}{BEFORE}{WORD}(?:{SPACE}{BEFORE}{WORD})*+"
+# The parts of a name that are replaced.
+TOKEN = rf"(?<!\p{{L}})(?:{INITIALS}|{WORD})"
+MENTION = rf"(?<![\p{{L}}\p{{N}}]){WORD}"
 ENTITY = "|".join([EMAIL, ACCESS_KEY, SECRET, ADDRESS, ACCOUNT, SOCIAL, CARD, PHONE, NAME])
 
 
@@ -84,19 +98,33 @@ def kind_of(found: Column) -> Column:
         .when(found.rlike(r"^\d{3}-\d{2}-\d{4}$"), "social")
         .when(found.rlike(r"^\d[\d -]{11,22}\d$") & digits.between(13, 19), "card")
         .when(found.rlike(r"^[+(\d][\d ().-]{8,}\d$") & digits.between(9, 16), "phone")
-        .when(found.rlike(rf"^{TITLE}\.?[  ]\p{{Lu}}"), "name")
+        .when(found.rlike(rf"^{TITLE}\.?{SPACE}"), "name")
         .otherwise("secret")
     )
 
 
 def _gender(found: Column) -> Column:
-    starts = {g: found.rlike(rf"^(?:{'|'.join(titles)})\.?[  ]") for g, titles in TITLES.items()}
-    return F.when(starts["f"], "f").when(starts["m"], "m").otherwise("x")
+    """Gender that any of the titles tells."""
+    tells = {g: found.rlike(rf"^(?:{TITLE}\.?{SPACE})*(?:{'|'.join(titles)})\.?{SPACE}") for g, titles in TITLES.items()}
+    return F.when(tells["f"], "f").when(tells["m"], "m").otherwise("x")
+
+
+def _untitled(found: Column) -> Column:
+    return F.regexp_replace(found, f"^{TITLED}", "")
+
+
+def _tokens(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _refilled(text: Column, pattern: str, new: Column) -> Column:
+    """``text`` with the matches of ``pattern`` replaced by the values of ``new``."""
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def units_of(found: Column) -> Column:
-    """Units of an entity: array of (kind, canon)."""
-    return _let(kind_of(found), lambda kind: _units(found, kind))
+    """Units of an entity: array of (kind, canon).  Initials are none, as too few letters are free for them."""
+    return F.filter(_let(kind_of(found), lambda kind: _units(found, kind)), lambda u: u["kind"] != "initials")
 
 
 def _units(found: Column, kind: Column) -> Column:
@@ -108,10 +136,14 @@ def _units(found: Column, kind: Column) -> Column:
         .when(kind == "secret", found)
         .otherwise(plain)
     )
-    words = F.split(F.regexp_replace(found, r"^\S+[  ]", ""), " ")
-    surname = F.struct(F.lit("name_s").alias("kind"), F.lower(F.element_at(words, -1)).alias("canon"))
-    given = F.struct(F.concat(F.lit("name_"), _gender(found)).alias("kind"), F.lower(F.element_at(words, 1)).alias("canon"))
-    names = F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))
+    gender = F.concat(F.lit("name_"), _gender(found))
+
+    def of(words: Column) -> Column:
+        # A name ends with its surname.
+        part = lambda w, k: F.when(w.rlike(r"^\p{Lu}(?:\.|$)"), "initials").when(k == F.size(words) - 1, "name_s").otherwise(gender)
+        return F.transform(words, lambda w, k: F.struct(part(w, k).alias("kind"), F.lower(w).alias("canon")))
+
+    names = _let(_tokens(_untitled(found), TOKEN), of)
     return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
@@ -172,6 +204,16 @@ def _invented(kind: Column, canon: Column, draws: Column) -> Column:
     return out
 
 
+def _initials(canon: Column, draws: Column) -> Column:
+    """Each letter replaced by another one of its script."""
+    def one(c: Column, k: Column) -> Column:
+        alphabet = F.when(c.rlike(r"\p{IsCyrillic}"), "абвгдежзиклмнопрстуфхцчшэюя").when(c.rlike(r"\p{IsGreek}"), "αβγδεζηθικλμνξοπρστυφχψω").otherwise("abcdefghijklmnopqrstuvwxyz")
+        other = lambda own: F.substr(own, (F.position(c, own) + F.element_at(draws, k + 1) % (F.length(own) - 1)) % F.length(own) + 1, F.lit(1))
+        return F.when(c.rlike(r"\p{L}"), _let(alphabet, other)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(canon, ""), one), "")
+
+
 def fresh(kind: Column, canon: Column, level: Column, key: str) -> Column:
     """The surrogate of a unit, in canonical form."""
     count = F.greatest(F.length(canon), F.lit(8))
@@ -181,6 +223,7 @@ def fresh(kind: Column, canon: Column, level: Column, key: str) -> Column:
         octets = [(F.element_at(draws, k) % 223 + 1).cast("string") for k in range(1, 5)]
         return (
             F.when(kind == "ip", F.concat_ws(".", *octets))
+            .when(kind == "initials", _initials(canon, draws))
             .when(F.startswith(kind, F.lit("name_")), _invented(kind, canon, draws))
             .otherwise(_let(_alike(canon, draws, hexadecimal), lambda alike: _shaped(kind, canon, level, key, draws, alike)))
         )
@@ -242,21 +285,36 @@ def _like(word: Column, name: Column) -> Column:
     return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(name)).otherwise(F.initcap(name))
 
 
+def _surrogate(unit: Column, levels: Column | None, key: str) -> Column:
+    level = F.lit(0) if levels is None else F.coalesce(F.try_element_at(levels, F.concat_ws("\u0001", unit["kind"], unit["canon"])), F.lit(0))
+    return fresh(unit["kind"], unit["canon"], level, key)
+
+
 def replacement(found: Column, levels: Column | None, key: str) -> Column:
     """What an entity becomes; ``levels`` is a map from raised units to their level."""
 
-    def of(unit: Column) -> Column:
-        level = F.lit(0) if levels is None else F.coalesce(F.try_element_at(levels, F.concat_ws("\u0001", unit["kind"], unit["canon"])), F.lit(0))
-        return fresh(unit["kind"], unit["canon"], level, key)
-
     def shown(kind: Column, values: Column) -> Column:
-        head = F.regexp_extract(found, r"^\S+[  ]", 0)
-        words = F.split(F.regexp_replace(found, r"^\S+[  ]", ""), " ")
-        name = F.concat(head, F.array_join(F.zip_with(words, values, _like), " "))
+        head, rest = F.regexp_extract(found, f"^{TITLED}", 0), _untitled(found)
+        name = F.concat(head, _refilled(rest, TOKEN, F.zip_with(_tokens(rest, TOKEN), values, _like)))
         case = F.when(found == F.upper(found), F.upper(values[0])).otherwise(values[0])
         return F.when(kind == "name", name).when(kind.isin("email", "ip"), case).otherwise(_pour(found, values[0]))
 
-    return _let(kind_of(found), lambda kind: _let(F.transform(_units(found, kind), of), lambda values: shown(kind, values)))
+    return _let(kind_of(found), lambda kind: _let(F.transform(_units(found, kind), lambda u: _surrogate(u, levels, key)), lambda values: shown(kind, values)))
+
+
+def names_of(found: Column, levels: Column | None, key: str) -> Column:
+    """(given, canon, value) of the name words among the entities of a text, surnames first."""
+    own = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda m: kind_of(m) == "name"), units_of)))
+    return F.array_sort(F.transform(own, lambda u: F.struct((u["kind"] != "name_s").alias("given"), u["canon"].alias("canon"), _surrogate(u, levels, key).alias("value"))))
+
+
+def _mentions(part: Column, names: Column) -> Column:
+    """A stretch between entities, with mentions of ``names`` replaced."""
+    def one(w: Column) -> Column:
+        value = F.try_element_at(F.filter(names, lambda n: n["canon"] == F.lower(w)), F.lit(1))["value"]
+        return F.when(value.isNull(), w).otherwise(_like(w, value))
+
+    return _refilled(part, MENTION, F.transform(_tokens(part, MENTION), one))
 
 
 def entities(text: Column) -> Column:
@@ -309,7 +367,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     text, found = F.col(text_col), F.col("_found")
     joined = joined.withColumn("_found", entities(text))
     new = F.transform(found, lambda m: replacement(m, levels, key))
-    parts = F.zip_with(F.split(text, ENTITY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    names = F.col("_names")
+    joined = joined.withColumn("_names", names_of(found, levels, key))
+    between = F.split(text, ENTITY, -1)
+    between = F.when(F.size("_names") > 0, F.transform(between, lambda part: _mentions(part, names))).otherwise(between)
+    parts = F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
     shown = [changed.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*shown, F.transform(found, kind_of).alias("entity_kinds"))

@@ -69,6 +69,29 @@ def test_one_value_has_one_surrogate(changed):
     assert callable(other)
 
 
+NAMED = [
+    (1, "Frau Anna Maria Schmidt kam."), (2, "Then Mr. John A. Smith left."), (3, "Prof. Dr. Weber und Herr Dr. Müller"), (4, "Herr von Berg, Mr J.R. van der Meer"),
+    (5, "Mrs Smith called. Smith said that SMITH's car, not a smith or Smithson, was Mrs Smith's."), (6, "Señor García y Señora López"), (7, "Smith said nothing"),
+    (8, "Frau Dr. Anna Weber: Anna sprach, Weber nicht."), (9, "Mme Giscard d'Estaing de la Tour-Roux dort"), (10, "Mr. J.Robert Anna ran"),
+]
+
+
+def test_names_are_replaced_whole_and_wherever_mentioned(spark):
+    got = {r.doc_id: r.text for r in surrogates.pseudonymise(frame(spark, NAMED)).collect()}
+    for name in ("Anna", "Maria", "Schmidt", "John", "Weber", "Müller", "Berg", "Meer", "García", "López", "Giscard", "Estaing", "Tour", "Roux"):
+        assert not any(name in t for t in got.values()), name
+    assert re.fullmatch(r"Frau [A-Z][a-z]+a [A-Z][a-z]+a [A-Z][a-z]+er kam\.", got[1])
+    assert re.fullmatch(r"Then Mr\. [A-Z][a-z]+on [B-Z]\. [A-Z][a-z]+er left\.", got[2])
+    assert re.fullmatch(r"Prof\. Dr\. [A-Z][a-z]+er und Herr Dr\. [A-Z][a-z]+er", got[3])
+    assert re.fullmatch(r"Herr von [A-Z][a-z]+er, Mr [A-IK-Z]\.[A-QS-Z]\. van der [A-Z][a-z]+er", got[4])
+    smith = re.match(r"Mrs (\w+) called", got[5])[1]
+    assert got[5] == f"Mrs {smith} called. {smith} said that {smith.upper()}'s car, not a smith or Smithson, was Mrs {smith}'s." and smith in got[2]
+    assert re.fullmatch(r"Señor [A-Z][a-z]+er y Señora [A-Z][a-z]+er", got[6]) and got[7] == NAMED[6][1]
+    first, last = re.match(r"Frau Dr\. (\w+a) (\w+er): ", got[8]).groups()
+    assert got[8] == f"Frau Dr. {first} {last}: {first} sprach, {last} nicht." and last in got[3]
+    assert re.fullmatch(r"Mme [A-Z][a-z]+a d'[A-Z][a-z]+a de la [A-Z][a-z]+er dort", got[9])
+
+
 def test_the_key_decides(spark):
     docs = frame(spark, ROWS[:1])
     a, b, again = (surrogates.pseudonymise(docs, key=k).first().text for k in ("one", "two", "one"))
