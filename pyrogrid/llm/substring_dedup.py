@@ -4,8 +4,9 @@ A chunk ends where the rolling hash is the largest within RADIUS bytes on both s
 Such cuts depend on the bytes around them alone, so text inserted elsewhere leaves the
 chunks of a passage as they are.  Chunks are grouped by digest; a digest found in two
 different documents is repeated.  Neighbouring repeated chunks of a document form a
-span, and spans of MIN_WORDS words or more are reported: at least that much of a
+run, and runs of MIN_WORDS words or more are reported: at least that much of a
 repeated passage of 50 words lies within whole chunks, while a common line stays below.
+A run is divided into spans of first and of later copies, which may be shorter.
 
 Positions are in code points of the original text.  Null and empty texts have no
 chunks.  Passages repeated only within one document are not reported, nor is anything
@@ -92,21 +93,27 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, id_
     each = lists.select("row", "doc_id", F.posexplode("digests").alias("at", "digest"))
     own = (F.col("doc_id") == F.col("low")).alias("own")
     hits = each.join(repeated, "digest").select("row", "doc_id", "at", "low", own)
-    # Neighbours of one kind (first copies, later copies) keep the same difference between position and rank.
-    ranked = hits.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("row", "own").orderBy("at")))
-    runs = ranked.groupBy("row", "own", "run").agg(
+    # Neighbours keep the same difference between position and rank: those of a run among all repeated chunks, those of a part among chunks of one kind.
+    ranked = hits.withColumns({
+        "run": F.col("at") - F.row_number().over(Window.partitionBy("row").orderBy("at")),
+        "part": F.col("at") - F.row_number().over(Window.partitionBy("row", "own").orderBy("at")),
+    })
+    runs = ranked.groupBy("row", "own", "run", "part").agg(
         F.min("at").alias("head"), F.max("at").alias("tail"), F.min("low").alias("first_doc_id")
     )
+    whole = Window.partitionBy("row", "run")
+    runs = runs.withColumns({"from": F.min("head").over(whole), "to": F.max("tail").over(whole)})
     found = runs.join(lists.select("row", "doc_id", "ends", "words"), "row")
     start = F.when(F.col("head") == 0, F.lit(0)).otherwise(F.element_at("ends", F.col("head")))
     inside = F.slice("words", F.col("head") + 1, F.col("tail") - F.col("head") + 1)
+    run_words = F.aggregate(F.slice("words", F.col("from") + 1, F.col("to") - F.col("from") + 1), F.lit(0).cast("long"), lambda a, b: a + b)
     found = found.select(
         "doc_id", start.cast("long").alias("start"), F.element_at("ends", F.col("tail") + 1).alias("end"),
         F.aggregate(inside, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_words"),
         (F.col("tail") - F.col("head") + 1).cast("long").alias("n_chunks"), "first_doc_id",
-        F.col("own").alias("is_first"),
+        F.col("own").alias("is_first"), run_words.alias("_words"),
     )
-    return found.filter(F.col("n_words") >= min_words)
+    return found.filter(F.col("_words") >= min_words).drop("_words")
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -204,6 +204,18 @@ def test_substring_counts_a_repeated_row_as_one_document(spark):
     assert {r.doc_id for r in substring_dedup.spans(frame(spark, [(1, text), (1, text), (2, text)])).collect()} == {1, 2}
 
 
+def test_substring_first_copy_is_whole_where_an_earlier_text_has_a_part(spark):
+    left, line, right = words(70, 22), words(71, 20), words(72, 22)
+    passage = f"{left} {line} {right}"
+    rows = [(1, f"{words(80, 40)} {line} {words(81, 40)}"), (2, f"{words(82, 40)} {passage} {words(83, 40)}"), (3, f"{words(84, 40)} {passage} {words(85, 40)}")]
+    got = [r for r in substring_dedup.spans(frame(spark, rows)).collect() if r.doc_id == 2]
+    text = rows[1][1]
+    at, end = text.index(passage), text.index(passage) + len(passage)
+    covered = {k for r in got for k in range(r.start, r.end)}
+    assert len(covered & set(range(at, end))) > 0.7 * len(passage) and {r.is_first for r in got} == {True, False}
+    assert sum(r.end - r.start for r in got) == len(covered)
+
+
 def test_large_groups_of_copies_stay_whole(spark):
     prepared(spark)
     docs = spark.range(3000).select(
