@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pyrogrid.llm import (
-    byte_bpe, exact_dedup, language_id, packing, quality, simhash, spot_signatures, substring_dedup, surrogates, token_store,
+    byte_bpe, exact_dedup, filter_audit, language_id, packing, quality, simhash, spot_signatures, substring_dedup, surrogates, token_store,
 )
 from pyrogrid.llm.common import documents, texts_of
 
@@ -56,6 +56,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,11 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_spot_signatures, op2_exact_dedup, op3_byte_bpe, op4_simhash, op5_packing, op6_quality, op7_language, op8_token_store,
-        op9_substring_dedup, op10_surrogates, pipeline,
+        op9_substring_dedup, op10_surrogates, op13_filter_audit, pipeline,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op13_filter_audit": filter_audit.audit_sql(),
     "op1_spot_signatures": spot_signatures.edits_sql(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

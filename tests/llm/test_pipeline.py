@@ -8,7 +8,7 @@ import __spark_entry__
 import corpus_pipeline
 from pyrogrid.llm import queries
 from pyrogrid.llm.common import prepared
-from tests.llm.test_dedup import naive_components, naive_fingerprint
+from tests.llm.test_dedup import naive_similar
 from pyrogrid.session import stored
 
 SF = "/root/testdata/sf0.001"
@@ -40,8 +40,7 @@ def test_dedup_stages_equal_brute_force(steps):
         last[(r["text"] or "").encode().lower()] = max(i, last.get((r["text"] or "").encode().lower(), i))
     assert rows(steps[2]) == {i: before[i] for i in last.values()}
     kept = rows(steps[2])
-    named = set(naive_components({i: naive_fingerprint(kept[i]["text"]) for i in sorted(kept)}).values())
-    assert rows(steps[3]) == {i: kept[i] for i in named}
+    assert rows(steps[3]) == {i: kept[i] for i in naive_similar([(i, r["text"]) for i, r in kept.items()])}
 
 
 def test_private_stage_changes_only_documents_with_entities(steps):
@@ -83,7 +82,8 @@ def test_registration():
 def test_queries_equal_their_sql(spark, name):
     found = queries.QUERIES[name](spark, SF)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     columns = ", ".join(sorted(found.columns))
     want = sorted(con.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall())
     got = sorted(tuple(r) for r in found.select(sorted(found.columns)).collect())
