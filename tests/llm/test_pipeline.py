@@ -74,7 +74,7 @@ def test_run_gives_the_stages_result(spark, steps):
 
 def test_registration():
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and "pipeline" in queries.QUERIES
-    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14)] == [1] * 13
     assert set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
