@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pyrogrid.llm import (
-    byte_bpe, exact_dedup, filter_audit, language_id, packing, periodic_runs, quality, simhash, spot_signatures, substring_dedup, surrogates, token_store,
+    byte_bpe, exact_dedup, filter_audit, gated_lm, language_id, packing, periodic_runs, quality, simhash, spot_signatures, substring_dedup, surrogates, token_store,
 )
 from pyrogrid.llm.common import documents, texts_of
 
@@ -60,6 +60,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(documents(spark, sf_dir))
 
 
+def op12_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.scored(documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_spot_signatures, op2_exact_dedup, op3_byte_bpe, op4_simhash, op5_packing, op6_quality, op7_language, op8_token_store,
-        op9_substring_dedup, op10_surrogates, op11_periodic_runs, op13_filter_audit, pipeline,
+        op9_substring_dedup, op10_surrogates, op11_periodic_runs, op12_gated_lm, op13_filter_audit, pipeline,
     )
 }
 
