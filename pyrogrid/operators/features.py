@@ -12,7 +12,7 @@ from pyrogrid.functions import geo
 from pyrogrid.functions.physics import retrieve_temperature
 from pyrogrid.operators.cluster import diurnal_shape
 from pyrogrid.operators.landcover import attach_landcover, canonical_class
-from pyrogrid.operators.nearest import CandidateIndex, nearest_facility
+from pyrogrid.operators.nearest import CandidateIndex, located
 
 
 def check_leakage(features: list[str] = K.FEATURES) -> None:
@@ -46,14 +46,15 @@ def build_features(
 ) -> DataFrame:
     """One feature row per source; source columns are kept beside the features.
 
-    Retrieved values already in the sources win over a new retrieval.
+    Retrieved values already in the sources win over a new retrieval, and sources
+    that have their nearest facility are not joined again.
     """
     check_leakage()
     have = set(sources.columns)
     if landcover is not None:
         sources = attach_landcover(sources, landcover)
         have.add("landcover_class")
-    df = with_retrieval(nearest_facility(sources, facilities, index=index))
+    df = with_retrieval(located(sources, facilities, index))
 
     def given(name: str, default: Column) -> Column:
         return F.coalesce(F.col(name), default) if name in have else default

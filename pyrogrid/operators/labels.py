@@ -10,15 +10,9 @@ from pyrogrid.functions import geo
 from pyrogrid.functions.physics import lookup
 from pyrogrid.functions.quantiles import exact_quantile
 from pyrogrid.operators.landcover import attach_landcover
-from pyrogrid.operators.nearest import CandidateIndex, nearest_facility
+from pyrogrid.operators.nearest import NEAREST_COLUMNS, CandidateIndex, located
 from pyrogrid.operators.scoring import column_or
 
-NEAREST_COLUMNS = [
-    "facility_id", "facility_name", "facility_sector", "district", "state", "facility_radius_m",
-    "facility_lat", "facility_lon", "dist_facility_m",
-]
-
-
 def label_sources(
     sources: DataFrame,
     facilities: DataFrame,
@@ -27,9 +21,13 @@ def label_sources(
     index: CandidateIndex | None = None,
     keep_nearest: bool = False,
 ) -> DataFrame:
-    """Add ``label`` and ``label_confidence`` from the nearest facility or wild land cover."""
+    """Add ``label`` and ``label_confidence`` from the nearest facility or wild land cover.
+
+    With ``keep_nearest`` the columns of the nearest facility stay, and the operators
+    that take labelled sources need no join of their own.
+    """
     df = attach_landcover(sources, landcover) if landcover is not None else sources
-    df = nearest_facility(df, facilities, index=index)
+    df = located(df, facilities, index)
     reach = F.coalesce("facility_radius_m", F.lit(float(max_dist_m)))
     near = F.col("facility_id").isNotNull() & (F.col("dist_facility_m") <= reach)
     sector = F.upper("facility_sector")
@@ -72,8 +70,7 @@ def sample_negative_controls(
     index: CandidateIndex | None = None,
 ) -> DataFrame:
     """Points 8 to 25 km around the facility (or the source) of each FLARE source."""
-    flares = labelled.filter(F.col("label") == "FLARE").select("source_id", "centroid_lat", "centroid_lon")
-    flares = nearest_facility(flares, facilities, index=index)
+    flares = located(labelled.filter(F.col("label") == "FLARE"), facilities, index)
     df = flares.select(
         "source_id",
         F.coalesce("facility_lat", "centroid_lat").alias("_lat"),
@@ -101,8 +98,7 @@ def is_control(df: DataFrame) -> Column:
 
 def registry_gaps(labelled: DataFrame, facilities: DataFrame, index: CandidateIndex | None = None) -> DataFrame:
     """Non-control sources without a facility in reach, or with one beyond 50 km."""
-    real = labelled.filter(~is_control(labelled)).select("source_id", "centroid_lat", "centroid_lon", "label")
-    df = nearest_facility(real, facilities, index=index)
+    df = located(labelled.filter(~is_control(labelled)), facilities, index)
     none = F.col("facility_id").isNull()
     return df.filter(none | (F.col("dist_facility_m") > K.GAP_DISTANCE_M)).select(
         "source_id", "centroid_lat", "centroid_lon", "label",
@@ -132,28 +128,36 @@ def label_report(labelled: DataFrame) -> DataFrame:
 
 def label_distances(labelled: DataFrame, facilities: DataFrame, index: CandidateIndex | None = None) -> DataFrame:
     """Median distance to the nearest facility per label, controls left out."""
-    real = labelled.filter(~is_control(labelled)).select("source_id", "centroid_lat", "centroid_lon", "label")
-    df = nearest_facility(real, facilities, index=index).select("label", "dist_facility_m")
+    df = located(labelled.filter(~is_control(labelled)), facilities, index).select("label", "dist_facility_m")
     return exact_quantile(df, "dist_facility_m", 0.5, by=["label"], width=500.0, name="median_m")
 
 
 def labelled_set(
-    sources: DataFrame, facilities: DataFrame, landcover: DataFrame | None = None, n_samples: int = 5, seed: int = 42
+    sources: DataFrame,
+    facilities: DataFrame,
+    landcover: DataFrame | None = None,
+    n_samples: int = 5,
+    seed: int = 42,
+    index: CandidateIndex | None = None,
 ) -> DataFrame:
-    """Labelled sources and their negative controls as one table."""
-    labelled = label_sources(sources, facilities, landcover)
-    controls = sample_negative_controls(labelled, facilities, n_samples, seed)
+    """Labelled sources, with their nearest facility, and their negative controls as one table."""
+    labelled = label_sources(sources, facilities, landcover, index=index, keep_nearest=True)
+    controls = sample_negative_controls(labelled, facilities, n_samples, seed, index)
     return labelled.unionByName(controls, allowMissingColumns=True)
 
 
 def save_labelled(
-    sources: DataFrame, facilities: DataFrame, root: str, landcover: DataFrame | None = None
+    sources: DataFrame,
+    facilities: DataFrame,
+    root: str,
+    landcover: DataFrame | None = None,
+    index: CandidateIndex | None = None,
 ) -> DataFrame:
     """Write the labelled table and the registry gaps; returns the stored table."""
     from pyrogrid.sources import store
 
     spark = sources.sparkSession
-    store.publish(labelled_set(sources, facilities, landcover), root, "labelled")
+    store.publish(labelled_set(sources, facilities, landcover, index=index), root, "labelled")
     stored = store.read_table(spark, root, "labelled")
-    store.publish(registry_gaps(stored, facilities), root, "registry_gaps")
+    store.publish(registry_gaps(stored, facilities, index), root, "registry_gaps")
     return stored

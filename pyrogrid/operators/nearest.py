@@ -1,11 +1,11 @@
-"""Exact nearest-facility search through an adaptive candidate grid."""
+"""Exact nearest-facility search through a candidate grid refined by distance bounds."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyrogrid import constants as K
@@ -15,8 +15,10 @@ from pyrogrid.session import cut_lineage
 # A cell is split while more facilities than this may be the nearest one of some
 # point in it, and each split cuts a cell into FAN x FAN.
 MAX_CANDIDATES = 64
-FAN = 8
-MAX_DEPTH = 7
+FAN_BITS = 2
+FAN = 1 << FAN_BITS
+# Cells of the last depth are a millimetre wide in a region of 4,000 km.
+MAX_DEPTH = 16
 # Candidate entries (about 40 bytes each) up to which the index is broadcast.
 BROADCAST_ENTRIES = 500_000
 
@@ -27,13 +29,13 @@ class Metric:
 
     ``box`` is the (west, south, east, north) that most points lie in, ``scale``
     gives the factor of the x difference for a point's y, and ``scale_range`` the
-    smallest and largest factor for y between two values.
+    smallest and largest factor for y between two values; both in SQL.
     """
 
     box: tuple[float, float, float, float]
     unit: float = 1.0
-    scale: Callable = lambda y: F.lit(1.0)
-    scale_range: Callable = lambda lo, hi: (F.lit(1.0), F.lit(1.0))
+    scale: Callable[[str], str] = lambda y: "1D"
+    scale_range: Callable[[str, str], tuple[str, str]] = lambda lo, hi: ("1D", "1D")
 
 
 def _projected_region() -> tuple[float, float, float, float]:
@@ -45,18 +47,17 @@ def _projected_region() -> tuple[float, float, float, float]:
     return min(xs), min(ys), max(xs), max(ys)
 
 
-def _cos_range(lo: Column, hi: Column) -> tuple[Column, Column]:
-    low = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lo))
-    high = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), hi))
-    ends = F.cos(F.radians(low)), F.cos(F.radians(high))
-    return F.least(*ends), F.when((low <= 0) & (high >= 0), F.lit(1.0)).otherwise(F.greatest(*ends))
+def _cos_range(lo: str, hi: str) -> tuple[str, str]:
+    low, high = (f"greatest(-90D, least(90D, {v}))" for v in (lo, hi))
+    ends = f"cos(radians({low})), cos(radians({high}))"
+    return f"least({ends})", f"if({low} <= 0 and {high} >= 0, 1D, greatest({ends}))"
 
 
 # Projected metres.
 PLANAR = Metric(box=_projected_region())
 # Degrees of 111 km each, longitudes shortened by the cosine of the point's latitude.
 PLATE = Metric(
-    box=(-180.0, -90.0, 180.0, 90.0), unit=111.0, scale=lambda y: F.cos(F.radians(y)), scale_range=_cos_range
+    box=(-180.0, -90.0, 180.0, 90.0), unit=111.0, scale=lambda y: f"cos(radians({y}))", scale_range=_cos_range
 )
 
 
@@ -66,8 +67,9 @@ def over_points(metric: Metric, points: DataFrame, x: str, y: str) -> Metric:
     return metric if e[0] is None else replace(metric, box=(e[0], e[1], e[2], e[3]))
 
 
-# Key of the candidates for points beyond the root square.
-OUTSIDE = -1
+# Entries for points beyond the root have depths -1 to -8, one for each side and corner,
+# and are kept under SALTS keys each; points without coordinates have a depth of their own.
+SALTS, NOWHERE = 8, -9
 
 
 @dataclass(frozen=True)
@@ -79,115 +81,150 @@ class CandidateIndex:
     metric: Metric
 
 
-def _undominated(split: DataFrame, west0: float, south0: float, side: float, metric: Metric) -> DataFrame:
-    """Drop candidates that another one beats at every point of their cell.
+def _cell_at(depth: int) -> tuple[Column, Column]:
+    """Grid cell of a facility at a depth, from its cell at the last depth."""
+    shift = FAN_BITS * (MAX_DEPTH - depth)
+    return F.shiftright("gx", shift).alias("cx"), F.shiftright("gy", shift).alias("cy")
 
-    The difference of two squared distances is linear along the box, so it is
-    enough to compare at the corners (and at both ends of the metric's scale).  Only
-    the facilities nearest to the corners and the centre are tried as winners, so a
-    cell costs five comparisons per candidate however many candidates it has.
-    """
-    west, south = F.col("ix") * side + west0, F.col("iy") * side + south0
-    split = split.withColumns({"w": west, "s": south})
-    k_min, k_max = metric.scale_range(F.col("s"), F.col("s") + side)
-
-    def squared(f: Column | None, x: Column, y: Column, k: Column) -> Column:
-        dx, dy = (x - (F.col("fx") if f is None else f.fx)) * k, y - (F.col("fy") if f is None else f.fy)
-        return dx * dx + dy * dy
-
-    # fixed values: corners and centre of the unit square
-    spots = [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.5)]
-    nearest = [
-        F.min_by(F.struct("fx", "fy"), squared(None, F.col("w") + u * side, F.col("s") + v * side, k_max))
-        for u, v in spots
-    ]
-    winners = split.groupBy("ix", "iy").agg(F.array_distinct(F.array(*nearest)).alias("winners"))
-    scales = [k_max] if metric.scale_range is Metric.scale_range else [k_min, k_max]
-
-    def beaten(f: Column) -> Column:
-        every = F.lit(True)
-        for u, v in spots[:4]:
-            for k in scales:
-                x, y = F.col("w") + u * side, F.col("s") + v * side
-                own, other = squared(None, x, y, k), squared(f, x, y, k)
-                every = every & (own - other > (own + other) * 1e-10)
-        return every
 
-    return (
-        split.join(winners, ["ix", "iy"])
-        .filter(~F.exists("winners", beaten))
-        .select("ix", "iy", "fx", "fy", "tie")
+def _possible(pairs: DataFrame, root: tuple[float, float, float], metric: Metric) -> DataFrame:
+    """The pairs of a cell (dq, qx, qy) and a box x0..x1, y0..y1 that may hold the nearest facility of a point in the cell.
+
+    Each box names one of its facilities, (rx, ry).  The difference of two squared
+    distances is linear across a cell, so a facility that is nearer to each corner of
+    the cell than any place of a box is nearer to every point of the cell than all that
+    the box holds.  Tried as such are the named facilities nearest to the corners and the
+    centre.  Adds ``apart``, the squared distance from cell to box in units of the cell's side.
+    """
+    west0, south0, size = root
+    kept = [c for c in pairs.columns if c != "apart"]
+    cells = pairs.selectExpr(*kept, f"{size!r}D / pow({FAN}D, dq) AS _e").selectExpr(*kept, "_e", f"qx * _e + {west0!r}D AS _w", f"qy * _e + {south0!r}D AS _s")
+    scales = metric.scale_range("_s", "_s + _e")
+    cells = cells.selectExpr("*", *[f"{k} AS _k{i}" for i, k in enumerate(scales)])
+    used = [1] if metric.scale_range is Metric.scale_range else [0, 1]
+    # The corners of a cell.
+    corners = [(k, x, y) for k in used for x in ("_w", "(_w + _e)") for y in ("_s", "(_s + _e)")]
+
+    def squared(k: int, dx: str, dy: str) -> str:
+        return f"pow(({dx}) * _k{k}, 2) + pow({dy}, 2)"
+
+    near = [squared(k, f"greatest(0D, x0 - {x}, {x} - x1)", f"greatest(0D, y0 - {y}, {y} - y1)") for k, x, y in corners]
+    named = [squared(k, f"rx - {x}", f"ry - {y}") for k, x, y in corners]
+    centre = squared(1, "rx - _w - _e / 2", "ry - _s - _e / 2")
+    apart = squared(0, "greatest(0D, x0 - _w - _e, _w - x1)", "greatest(0D, y0 - _s - _e, _s - y1)")
+    numbers = range(len(corners))
+    measured = cells.selectExpr(
+        *kept, f"({apart}) / (_e * _e) AS apart", *[f"{v} AS _m{i}" for i, v in enumerate(near)], f"struct({', '.join(named)}) AS _r", f"{centre} AS _c"
     )
+    spots = [f"_r.col{i + 1}" for i in numbers][-4:] + ["_c"]
+    winners = [f"min_by(_r, {spot}) OVER (PARTITION BY dq, qx, qy) AS _v{j}" for j, spot in enumerate(spots)]
+
+    # Room for rounding.
+    def nearer(j: int, i: int) -> str:
+        return f"_m{i} - _v{j}.col{i + 1} > (_m{i} + _v{j}.col{i + 1}) * 1e-10D"
+
+    beaten = " OR ".join("(" + " AND ".join(nearer(j, i) for i in numbers) + ")" for j in range(len(spots)))
+    return measured.selectExpr("*", *winners).filter(f"NOT ({beaten})").selectExpr(*kept, "apart")
 
 
 def build_index(facilities: DataFrame, x: str, y: str, tie: str, metric: Metric = PLANAR) -> CandidateIndex:
     """Cells with every facility that is nearest to some point of the cell.
 
-    The root is a square around the region and all facilities.  A facility stays a
-    candidate of a cell unless another one is nearer to every point of it.  Of
-    facilities at one position only the first by ``tie`` can win, so copies are dropped first.  For
-    PLATE pass a box around the points (``over_points``) unless there are few sites.
+    The root is a square around the region and all facilities.  Cells of points and
+    occupied cells of facilities are refined together, level by level: a pair of them
+    stays while distances allow that one holds the nearest facility of a point in the
+    other (``_possible``), so a level costs some pairs per cell, not rows per facility.
+    A cell is split while its pairs hold many facilities and some of them are near; a
+    crowded place seen from afar is refined without splitting the cells that see it.
+    Of facilities at one position only the first by ``tie`` can win, so copies are
+    dropped first.  For PLATE pass a box around the points (``over_points``) unless
+    there are few sites.
 
     The way from a point beyond the root to its nearest facility crosses the root's
-    edge at a spot that has the same nearest facility.  So the candidates of all
-    edge cells together serve every such point.  That needs a metric without scale;
-    the box of a scaled one must hold every point.
-
-    Each round refines only cells that still have many candidates, and the number
-    of rounds is limited by the smallest cell, not by the number of facilities.
+    edge at a spot that has the same nearest facility.  So the candidates of the cells
+    along the sides that face it together serve such a point.  That needs a metric
+    without scale; the box of a scaled one must hold every point.
     """
-    # Every level is checkpointed: it is read several times, and plans stay short.
-    distinct = cut_lineage(
+    distinct = (
         facilities.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(F.col(x).cast("double").alias("fx"), F.col(y).cast("double").alias("fy"))
         .agg(F.min(tie).alias("tie"))
     )
+    distinct = cut_lineage(distinct)
     extent = distinct.agg(F.min("fx"), F.min("fy"), F.max("fx"), F.max("fy"), F.count(F.lit(1))).first()
     if not extent[4]:
         return CandidateIndex(None, (), 0, (0.0, 0.0, 1.0), metric)
     west0, south0 = min(metric.box[0], extent[0]), min(metric.box[1], extent[1])
     east0, north0 = max(metric.box[2], extent[2]), max(metric.box[3], extent[3])
     size = max(east0 - west0, north0 - south0) * (1 + 1e-6) + 1e-6
-    level = distinct.select(
-        F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"), "fx", "fy", "tie"
-    )
-    leaves, depths = [], []
-    most = int(extent[4])
+    root = (west0, south0, size)
+    finest = FAN**MAX_DEPTH
+
+    def grid(value: str, low: float) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(finest - 1), F.floor((F.col(value) - low) / size * finest))).cast("long")
+
+    sites = distinct.withColumns({"gx": grid("fx", west0), "gy": grid("fy", south0)})
+
+    def occupied(depth: int) -> DataFrame:
+        boxes = [F.min("fx").alias("x0"), F.max("fx").alias("x1"), F.min("fy").alias("y0"), F.max("fy").alias("y1")]
+        named = F.min(F.struct("fx", "fy")).alias("_f")
+        found = sites.groupBy(*_cell_at(depth)).agg(*boxes, F.count(F.lit(1)).alias("n"), named)
+        return found.withColumns({"rx": F.col("_f.fx"), "ry": F.col("_f.fy")}).drop("_f")
+
+    cell = ["dq", "qx", "qy"]
+    corner = F.lit(0).cast("long")
+    count = int(extent[4])
+    pairs = occupied(0).select(F.lit(0).alias("dq"), corner.alias("qx"), corner.alias("qy"), "*", F.lit(0.0).alias("apart"))
+    pairs = pairs.withColumns({"near": F.lit(True), "open": F.lit(count > MAX_CANDIDATES)})
+    leaves, left = [], count > MAX_CANDIDATES
     for depth in range(MAX_DEPTH + 1):
-        last = depth == MAX_DEPTH or most <= MAX_CANDIDATES
-        counts = level.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
-        marked = level.join(counts, ["ix", "iy"]) if not last else level
-        leaf = marked if last else marked.filter(F.col("n") <= MAX_CANDIDATES)
-        leaves.append(leaf.select(F.lit(depth).alias("depth"), "ix", "iy", "fx", "fy", "tie"))
-        depths.append(depth)
-        if last:
+        closed = pairs.filter(~F.col("open")) if left else pairs
+        at = closed.select(*cell, "cx", "cy").join(sites.select(*_cell_at(depth), "fx", "fy", "tie"), ["cx", "cy"])
+        boxes = {"x0": "fx", "x1": "fx", "y0": "fy", "y1": "fy", "rx": "fx", "ry": "fy"}
+        kept = _possible(at.withColumns({k: F.col(v) for k, v in boxes.items()}), root, metric)
+        leaves.append(kept.select(F.col("dq").alias("depth"), F.col("qx").alias("ix"), F.col("qy").alias("iy"), "fx", "fy", "tie"))
+        if not left:
             break
-        side = size / FAN ** (depth + 1)
-        split = (
-            marked.filter(F.col("n") > MAX_CANDIDATES)
-            .select("*", F.explode(F.sequence(F.lit(0), F.lit(FAN * FAN - 1))).alias("c"))
-            .withColumns(
-                {"ix": F.col("ix") * FAN + F.col("c") % FAN, "iy": F.col("iy") * FAN + F.floor(F.col("c") / FAN)}
-            )
+        # A cell with a near box is cut into FAN x FAN; one whose boxes are all far stays whole.
+        below = F.sequence(F.lit(0), F.when(F.col("near"), FAN * FAN - 1).otherwise(0))
+        c, near = F.col("c"), F.col("near")
+        split = pairs.filter("open").select("*", F.explode(below).alias("c")).withColumns(
+            {
+                "qx": F.when(near, F.col("qx") * FAN + c % FAN).otherwise(F.col("qx")),
+                "qy": F.when(near, F.col("qy") * FAN + F.floor(c / FAN)).otherwise(F.col("qy")),
+                "dq": F.col("dq") + F.when(near, 1).otherwise(0),
+            }
         )
-        level = cut_lineage(_undominated(split, west0, south0, side, metric))
-        most = level.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        split = _possible(split, root, metric).select(*cell, F.col("cx").alias("px"), F.col("cy").alias("py"))
+        inner = occupied(depth + 1).withColumns({"px": F.shiftright("cx", FAN_BITS), "py": F.shiftright("cy", FAN_BITS)})
+        pairs = _possible(split.join(inner, ["px", "py"]).drop("px", "py"), root, metric)
+        whole = Window.partitionBy(*cell)
+        near = F.min("apart").over(whole) < 1
+        more = (F.sum("n").over(whole) > MAX_CANDIDATES) & (near | (F.max("n").over(whole) > 1))
+        pairs = pairs.withColumns({"near": near, "open": more if depth + 1 < MAX_DEPTH else F.lit(False)})
+        # Every level is checkpointed: it is read several times, and plans stay short.
+        pairs = cut_lineage(pairs)
+        left = not pairs.filter("open").isEmpty()
     table = leaves[0]
     for leaf in leaves[1:]:
         table = table.unionByName(leaf)
+    table = cut_lineage(table)
+    depths = sorted(r[0] for r in table.select("depth").distinct().collect())
     reach = F.pow(F.lit(float(FAN)), F.col("depth")) - 1
-    at_edge = (F.col("ix") == 0) | (F.col("iy") == 0) | (F.col("ix") == reach) | (F.col("iy") == reach)
-    beyond = table.filter(at_edge).select(
-        F.lit(OUTSIDE).alias("depth"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"),
-        "fx", "fy", "tie",
-    ).distinct()
+    on_side = {"x": [F.lit(False), F.col("ix") == 0, F.col("ix") == reach], "y": [F.lit(False), F.col("iy") == 0, F.col("iy") == reach]}
+    facing = [F.when(on_side["x"][k % 3] | on_side["y"][k // 3], F.lit(-k)) for k in range(1, 9)]
+    beyond = (
+        table.filter(on_side["x"][1] | on_side["x"][2] | on_side["y"][1] | on_side["y"][2])
+        .select(F.explode(F.array_compact(F.array(*facing))).alias("depth"), "fx", "fy", "tie").distinct()
+        .select("depth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("ix"), corner.alias("iy"), "fx", "fy", "tie")
+    )
     table = cut_lineage(
         table.unionByName(beyond)
         .groupBy("depth", "ix", "iy")
         .agg(F.collect_list(F.struct("tie", "fx", "fy")).alias("candidates"))
     )
     entries = table.agg(F.sum(F.size("candidates"))).first()[0] or 0
-    return CandidateIndex(table, tuple(depths), int(entries), (west0, south0, size), metric)
+    return CandidateIndex(table, tuple(depths), int(entries), root, metric)
 
 
 def attach_nearest(points: DataFrame, index: CandidateIndex, x: Column, y: Column) -> DataFrame:
@@ -202,25 +239,27 @@ def attach_nearest(points: DataFrame, index: CandidateIndex, x: Column, y: Colum
     metric, (west0, south0, size) = index.metric, index.root
     points = points.withColumns({"_x": x, "_y": y})
     usable = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    inside = F.col("_x").between(west0, west0 + size) & F.col("_y").between(south0, south0 + size)
-    inside = inside & (F.col("_x") < west0 + size) & (F.col("_y") < south0 + size)
-    tries = F.when(usable & inside, F.array(*[F.lit(d) for d in index.depths])).otherwise(
-        F.array(F.lit(OUTSIDE))
-    )
-    keyed = points.withColumn("depth", F.explode(tries))
-    side = F.lit(size) / F.pow(F.lit(float(FAN)), F.col("depth"))
 
-    def cell(value: str, low: float) -> Column:
-        return F.when(F.col("depth") == OUTSIDE, F.lit(0).cast("long")).otherwise(
-            F.floor((F.col(value) - low) / side)
-        )
+    def third(value: str, low: float) -> Column:
+        return F.when(F.col(value) < low, 1).when(F.col(value) >= low + size, 2).otherwise(0)
 
-    keyed = keyed.withColumns({"ix": cell("_x", west0), "iy": cell("_y", south0)})
+    facing = third("_x", west0) + 3 * third("_y", south0)
+    points = points.withColumn("_out", F.when(usable, -facing).otherwise(NOWHERE))
+    tries = F.when(F.col("_out") == 0, F.array(*[F.lit(d) for d in index.depths])).otherwise(F.array("_out"))
+    keyed = points.withColumn("depth", F.explode(tries))
+    side = F.lit(size) / F.pow(F.lit(float(FAN)), F.col("depth"))
+    spread = F.monotonically_increasing_id()
+    within = F.col("depth") >= 0
+    cell = {
+        "ix": F.when(within, F.floor((F.col("_x") - west0) / side)).when(F.col("depth") == NOWHERE, spread).otherwise(spread % SALTS),
+        "iy": F.when(within, F.floor((F.col("_y") - south0) / side)).otherwise(F.lit(0).cast("long")),
+    }
+    keyed = keyed.withColumns(cell)
     table = F.broadcast(index.table) if index.entries <= BROADCAST_ENTRIES else index.table
-    # An outside or coordinate-free point has one try and must stay without a hit.
+    # A point beyond the root or without coordinates has one try and must stay without a hit.
     located = keyed.join(table, ["depth", "ix", "iy"], "left")
-    located = located.filter(F.col("candidates").isNotNull() | (F.col("depth") == OUTSIDE))
-    k = metric.scale(F.col("_y"))
+    located = located.filter(F.col("candidates").isNotNull() | (F.col("depth") < 0))
+    k = F.expr(metric.scale("_y"))
 
     def entry(c: Column) -> Column:
         dx, dy = (c.fx - F.col("_x")) * k, c.fy - F.col("_y")
@@ -238,7 +277,7 @@ def attach_nearest(points: DataFrame, index: CandidateIndex, x: Column, y: Colum
                 ),
             ),
         )
-        .drop("depth", "ix", "iy", "candidates", "_best", "_x", "_y")
+        .drop("depth", "ix", "iy", "candidates", "_best", "_x", "_y", "_out")
     )
 
 
@@ -259,6 +298,20 @@ def facility_index(facilities: DataFrame) -> CandidateIndex:
     return build_index(ranked.withColumns({"_fx": x, "_fy": y}), "_fx", "_fy", "registry_rank", PLANAR)
 
 
+# What the join adds to a table of sources.
+NEAREST_COLUMNS = [
+    "facility_id", "facility_name", "facility_sector", "district", "state", "facility_radius_m",
+    "facility_lat", "facility_lon", "dist_facility_m",
+]
+
+
+def located(points: DataFrame, facilities: DataFrame, index: CandidateIndex | None = None) -> DataFrame:
+    """``points`` with the columns of the nearest facility; as they are where a join has added them before."""
+    if set(NEAREST_COLUMNS) <= set(points.columns):
+        return points
+    return nearest_facility(points, facilities, index=index)
+
+
 def nearest_facility(
     points: DataFrame,
     facilities: DataFrame,

@@ -1,15 +1,16 @@
-"""Training table, grouped folds, forest model, calibration and intervals."""
+"""Training table, grouped folds, boosted or bagged trees, calibration, intervals and attribution."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyrogrid import constants as K
@@ -17,8 +18,12 @@ from pyrogrid.functions import geo
 from pyrogrid.functions.physics import lookup
 from pyrogrid.functions.quantiles import exact_quantile
 from pyrogrid.functions.text import rounded
+from pyrogrid.operators import boosting
+from pyrogrid.operators.boosting import Boosted
 from pyrogrid.operators.features import build_features, check_leakage
+from pyrogrid.operators.nearest import CandidateIndex
 from pyrogrid.operators.scoring import classify_rules, offshore
+from pyrogrid.session import stored
 from pyrogrid.sources import store
 
 
@@ -35,22 +40,23 @@ def replace_synthetic(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def materialise(labelled: DataFrame, facilities: DataFrame, landcover: DataFrame | None = None) -> DataFrame:
+def materialise(
+    labelled: DataFrame, facilities: DataFrame, landcover: DataFrame | None = None, index: CandidateIndex | None = None
+) -> DataFrame:
     """Feature table of the rows with a known class, with ``cls`` and ``block_id``."""
     name = "label" if "label" in labelled.columns else "cls" if "cls" in labelled.columns else None
     if name is None:
         raise ValueError("neither 'label' nor 'cls' column found")
     rows = labelled.filter(F.col(name).isin(K.CLASSES)) if name == "label" else labelled
-    out = build_features(rows, facilities, landcover).withColumn("cls", F.col(name))
+    out = build_features(rows, facilities, landcover, index).withColumn("cls", F.col(name))
     missing = sorted((set(K.FEATURES) | {"cls", "block_id"}) - set(out.columns))
     if missing:
         raise ValueError(f"training table misses required columns: {missing}")
     return out
 
 
-def training_rows(df: DataFrame) -> DataFrame:
-    """Validate a labelled table and derive class, block and row weight."""
-    check_leakage()
+def labelled_blocks(df: DataFrame) -> DataFrame:
+    """The rows of a labelled table with a known class as ``cls``, and their ``block_id``; raises on other classes."""
     if "label" in df.columns:
         df = df.filter(~F.col("label").eqNullSafe(K.UNLABELLED))
         bad = [r[0] for r in offending_labels(df).collect()]
@@ -67,6 +73,13 @@ def training_rows(df: DataFrame) -> DataFrame:
         if not {"centroid_lat", "centroid_lon"} <= set(df.columns):
             raise ValueError("block_id cannot be derived without centroid_lat and centroid_lon")
         df = df.withColumn("block_id", geo.block_id(F.col("centroid_lat"), F.col("centroid_lon")))
+    return df
+
+
+def training_rows(df: DataFrame) -> DataFrame:
+    """Validate a labelled table and derive class, block and row weight."""
+    check_leakage()
+    df = labelled_blocks(df)
     missing = sorted(set(K.FEATURES) - set(df.columns))
     if missing:
         raise ValueError(f"labelled data misses required features: {missing}")
@@ -191,17 +204,56 @@ def block_summary(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class ForestFit:
+    """A fitted forest; a feature's contribution is its importance times its standardised value, for every class."""
+
+    pipeline: PipelineModel
+    means: list[float]
+    scales: list[float]
+
+    @property
+    def classes(self) -> list[str]:
+        return list(self.pipeline.stages[1].labels)
+
+    def with_probabilities(self, df: DataFrame) -> DataFrame:
+        if "cls" not in df.columns:
+            df = df.withColumn("cls", F.lit(self.classes[0]))
+        found = self.pipeline.transform(df.withColumn("weight", F.lit(1.0)))
+        return found.withColumn("_p", vector_to_array("p")).drop("features", "y", "raw", "p", "y_hat")
+
+    def with_scores(self, df: DataFrame, contributions: bool = False) -> DataFrame:
+        weights = self.pipeline.stages[-1].featureImportances.toArray()
+        own = [F.lit(float(w)) * (F.col(f"x_{c}") - m) / s for c, w, m, s in zip(K.FEATURES, weights, self.means, self.scales)]
+        return self.with_probabilities(df).withColumn("_contributions", F.array_repeat(F.array(*own), len(self.classes)))
+
+    def save(self, spark: SparkSession, root: str) -> None:
+        self.pipeline.write().overwrite().save(f"{root}/model")
+        scales = [(i, m, s) for i, (m, s) in enumerate(zip(self.means, self.scales))]
+        spark.createDataFrame(scales, "i int, mean double, scale double").coalesce(1).write.mode("overwrite").json(f"{root}/scales")
+
+    @staticmethod
+    def load(spark: SparkSession, root: str) -> ForestFit:
+        scales = spark.read.json(f"{root}/scales").orderBy("i").collect()
+        return ForestFit(PipelineModel.load(f"{root}/model"), [r["mean"] for r in scales], [r["scale"] for r in scales])
+
+
+# Parts that a saved model of each kind needs.
+PARTS = {
+    "forest": ["model", "scales", "conformal", "calibrator", "metrics"],
+    "boosted": ["nodes", "cuts", "shape", "conformal", "calibrator", "metrics"],
+}
+
+
 @dataclass
 class AnomalyModel:
-    """A fitted forest with calibration, interval width and metrics."""
+    """Fitted trees (ForestFit or Boosted) with calibration, interval width and metrics."""
 
-    forest: PipelineModel
+    fitted: ForestFit | Boosted
     classes: list[str]
     calibration: list[tuple[float, float]]
     q: float
     metrics: dict = field(default_factory=dict)
-    means: list[float] = field(default_factory=list)
-    scales: list[float] = field(default_factory=list)
 
     def _calibrated(self, p: Column) -> Column:
         parts = [
@@ -211,12 +263,10 @@ class AnomalyModel:
         return probability_map(self.classes, F.array(*parts))
 
     def score(self, features: DataFrame) -> DataFrame:
-        """Calibrated class, interval and key features; offshore sources are suppressed."""
+        """Calibrated class, interval and key features of that class; offshore sources are suppressed."""
         have = features.columns
-        df = numeric_features(features.withColumn("weight", F.lit(1.0)))
-        if "cls" not in have:
-            df = df.withColumn("cls", F.lit(self.classes[0]))
-        df = self.forest.transform(df).withColumn("_probs", self._calibrated(vector_to_array("p")))
+        df = self.fitted.with_scores(numeric_features(features), contributions=True)
+        df = df.withColumn("_probs", self._calibrated(F.col("_p")))
         df = df.withColumn("_top", top_class(F.col("_probs"))).withColumn("_off", offshore(features))
         suppressed = F.least("_top.p", F.lit(0.10))
         others = len(self.classes) - (1 if "UNRESOLVED" in self.classes else 0)
@@ -225,15 +275,12 @@ class AnomalyModel:
             F.array(*[F.lit(c) for c in names]),
             F.array(*[suppressed if c == "UNRESOLVED" else (F.lit(1.0) - suppressed) / others for c in names]),
         )
-        weights = self.forest.stages[-1].featureImportances.toArray()
+        of_class = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col("_top.cls")).cast("int")
+        df = df.withColumn("_own", F.element_at("_contributions", of_class))
         contributions = F.array(
             *[
-                F.struct(
-                    F.lit(c).alias("name"),
-                    F.col(f"x_{c}").alias("value"),
-                    rounded(F.lit(float(w)) * (F.col(f"x_{c}") - m) / s, 4).alias("contribution"),
-                )
-                for c, w, m, s in zip(K.FEATURES, weights, self.means, self.scales)
+                F.struct(F.lit(c).alias("name"), F.col(f"x_{c}").alias("value"), rounded(F.element_at("_own", i + 1), 4).alias("contribution"))
+                for i, c in enumerate(K.FEATURES)
             ]
         )
 
@@ -255,9 +302,9 @@ class AnomalyModel:
         return df.select(*[c for c in have if c not in extra], *[v.alias(k) for k, v in extra.items()])
 
     def save(self, root: str) -> None:
-        """Write the forest and one-row JSON tables beside it."""
+        """Write the trees and one-row JSON tables beside them."""
         spark = SparkSession.active()
-        self.forest.write().overwrite().save(f"{root}/model")
+        self.fitted.save(spark, root)
         conformal = [("1.0", self.q, 0.90, self.classes)]
         spark.createDataFrame(conformal, "version string, q double, coverage_level double, classes array<string>").coalesce(
             1
@@ -266,47 +313,55 @@ class AnomalyModel:
         spark.createDataFrame(rows, "i int, slope double, offset double").coalesce(1).write.mode("overwrite").json(
             f"{root}/calibrator"
         )
-        scales = [(i, m, s) for i, (m, s) in enumerate(zip(self.means, self.scales))]
-        spark.createDataFrame(scales, "i int, mean double, scale double").coalesce(1).write.mode("overwrite").json(
-            f"{root}/scales"
-        )
-        pairs = [(k, float(v)) for k, v in self.metrics.items()]
-        spark.createDataFrame(pairs, "metric string, value double").coalesce(1).write.mode("overwrite").json(
+        pairs = [(k, float(v)) for k, v in self.metrics.items() if isinstance(v, (int, float))]
+        texts = [(k, str(v)) for k, v in self.metrics.items() if not isinstance(v, (int, float))]
+        table = [(k, v, None) for k, v in pairs] + [(k, None, v) for k, v in texts]
+        spark.createDataFrame(table, "metric string, value double, text string").coalesce(1).write.mode("overwrite").json(
             f"{root}/metrics"
         )
 
     @staticmethod
-    def load(spark: SparkSession, root: str) -> "AnomalyModel":
+    def load(spark: SparkSession, root: str) -> AnomalyModel:
         """Read a saved model; ``FileNotFoundError`` names what is missing."""
-        parts = ["model", "conformal", "calibrator", "scales", "metrics"]
-        missing = []
-        for part in parts:
+
+        def there(part: str) -> bool:
             path, fs = store._path(spark, f"{root}/{part}")
-            if not fs.exists(path):
-                missing.append(part)
+            return fs.exists(path)
+
+        kind = "boosted" if there("nodes") else "forest"
+        missing = [part for part in PARTS[kind] if not there(part)]
         if missing:
             raise FileNotFoundError(f"model parts {missing} are missing in {root!r}; train the model first")
         head = spark.read.json(f"{root}/conformal").first()
         lines = spark.read.json(f"{root}/calibrator").orderBy("i").collect()
-        scales = spark.read.json(f"{root}/scales").orderBy("i").collect()
-        metrics = {r["metric"]: r["value"] for r in spark.read.json(f"{root}/metrics").collect()}
-        return AnomalyModel(
-            PipelineModel.load(f"{root}/model"), list(head["classes"]), [(r["slope"], r["offset"]) for r in lines],
-            head["q"], metrics, [r["mean"] for r in scales], [r["scale"] for r in scales],
-        )
+        kept = spark.read.schema("metric string, value double, text string").json(f"{root}/metrics").collect()
+        metrics = {r["metric"]: r["text"] if r["value"] is None else r["value"] for r in kept}
+        fitted = {"forest": ForestFit, "boosted": Boosted}[kind].load(spark, root)
+        return AnomalyModel(fitted, list(head["classes"]), [(r["slope"], r["offset"]) for r in lines], head["q"], metrics)
+
+
+def fit_trees(data: DataFrame, kind: str, trees: int, depth: int, rate: float) -> ForestFit | Boosted:
+    """Fit rows of ``numeric_features`` with cls and weight: boosted trees, or a forest."""
+    if kind == "boosted":
+        return boosting.boost(data, K.FEATURES, trees, depth, rate)
+    if kind != "forest":
+        raise ValueError(f"trees are 'boosted' or a 'forest', not {kind!r}")
+    names = [f"x_{c}" for c in K.FEATURES]
+    moments = data.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    means = [float(moments[f"m_{c}"] or 0.0) for c in names]
+    return ForestFit(forest(trees, depth).fit(data), means, [float(moments[f"s_{c}"] or 0.0) or 1.0 for c in names])
 
 
-def out_of_fold(df: DataFrame, trees: int, depth: int, folds: int) -> DataFrame:
-    """Predictions of every row by a forest that never saw its block."""
-    data = with_folds(numeric_features(training_rows(df)), folds).persist()
+def out_of_fold(df: DataFrame, trees: int, depth: int, folds: int, kind: str = "boosted", rate: float = 0.05) -> DataFrame:
+    """Predictions of every row by trees that never saw its block."""
+    data = stored(with_folds(numeric_features(training_rows(df)), folds), "folds")
     numbers = sorted(r[0] for r in data.select("fold").distinct().collect())
     parts = []
     for fold in numbers:
         train_part = data.filter(F.col("fold") != fold) if len(numbers) > 1 else data
-        fitted = forest(trees, depth).fit(train_part)
-        classes = [c for c in fitted.stages[1].labels]
-        probs = probability_map(classes, vector_to_array("p"))
-        part = fitted.transform(data.filter(F.col("fold") == fold)).withColumn("probs", probs)
+        fitted = fit_trees(train_part, kind, trees, depth, rate)
+        part = fitted.with_probabilities(data.filter(F.col("fold") == fold))
+        part = part.withColumn("probs", probability_map(fitted.classes, F.col("_p")))
         part = part.withColumn("_top", top_class(F.col("probs")))
         keep = ["source_id", "block_id", "fold", "cls"]
         parts.append(
@@ -338,19 +393,19 @@ def calibrate(scored: DataFrame, classes: list[str]) -> list[tuple[float, float]
     return lines
 
 
-def train(df: DataFrame, trees: int = 300, depth: int = 6, folds: int = 5) -> AnomalyModel:
-    """Spatial-block validation, interval width, final forest and calibration."""
-    rows = training_rows(df).persist()
-    held_out = out_of_fold(rows, trees, depth, folds).persist()
+def train(
+    df: DataFrame, trees: int = 300, depth: int = 6, folds: int = 5, kind: str = "boosted", rate: float = 0.05
+) -> AnomalyModel:
+    """Spatial-block validation, interval width, final trees and calibration."""
+    begun = datetime.now(timezone.utc)
+    rows = stored(training_rows(df), "training")
+    held_out = stored(out_of_fold(rows, trees, depth, folds, kind, rate), "held_out")
     q = round(float(conformal_quantile(held_out).first()["q"]), 4)
     overall = overall_metrics(held_out).first()
     cover = coverage(held_out, q).first()
-    data = numeric_features(rows).persist()
-    fitted = forest(trees, depth).fit(data)
-    classes = list(fitted.stages[1].labels)
-    scored = fitted.transform(data).withColumn("_p", vector_to_array("p"))
-    names = [f"x_{c}" for c in K.FEATURES]
-    moments = data.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    data = numeric_features(rows)
+    fitted = fit_trees(data, kind, trees, depth, rate)
+    scored = stored(fitted.with_probabilities(data).select("_p", "cls", "weight"), "scored")
     summary = block_summary(rows).first()
     metrics = {
         "spatial_block_cv_accuracy": round(overall["accuracy"], 4),
@@ -362,36 +417,54 @@ def train(df: DataFrame, trees: int = 300, depth: int = 6, folds: int = 5) -> An
         "n_blocks": summary["n_blocks"],
         "n_real": summary["n_real"],
         "n_synthetic": summary["n_synthetic"],
+        **{f"f1_{r['cls']}": round(r["f1"], 4) for r in classification_metrics(held_out).collect() if r["n_actual"]},
+        "kind": kind,
+        "trained_at": begun.isoformat(),
+        "training_seconds": round((datetime.now(timezone.utc) - begun).total_seconds(), 3),
     }
-    return AnomalyModel(
-        fitted, classes, calibrate(scored, classes), q, metrics,
-        [float(moments[f"m_{c}"] or 0.0) for c in names],
-        [float(moments[f"s_{c}"] or 0.0) or 1.0 for c in names],
-    )
+    return AnomalyModel(fitted, list(fitted.classes), calibrate(scored, list(fitted.classes)), q, metrics)
+
+
+# Rows exchange values within a bucket; buckets are as many as rows need, and never fewer than this.
+EXCHANGE_ROWS, LEAST_BUCKETS = 50_000, 8
 
 
 def permutation_importance(model: AnomalyModel, df: DataFrame, seed: int = 7) -> DataFrame:
     """Loss of accuracy when one feature's values are taken from other rows.
 
     Values are exchanged by pairing rows of two hash orders inside hash buckets, so
-    no global sort is needed; all features are scored in one pass each.
+    no global sort is needed.  One pass scores all features: every row is written once
+    per feature, with that feature's value exchanged.
     """
     base = numeric_features(training_rows(df)).withColumn("_row", F.xxhash64("source_id", F.lit(seed)))
-    base = base.withColumn("_bucket", F.pmod("_row", F.lit(64)))
-    from pyspark.sql import Window
-
-    ring = Window.partitionBy("_bucket").orderBy("_row", "source_id")
-
-    def accuracy(frame: DataFrame) -> Column:
-        scored = model.forest.transform(frame).withColumn("_t", top_class(probability_map(model.classes, vector_to_array("p"))))
-        return scored.agg(F.avg((F.col("_t.cls") == F.col("cls")).cast("double")).alias("a"))
-
-    whole = accuracy(base).first()["a"]
-    out = []
-    for c in K.FEATURES:
-        shifted = base.withColumn(f"x_{c}", F.coalesce(F.lag(f"x_{c}").over(ring), F.col(f"x_{c}")))
-        out.append((c, float(whole - accuracy(shifted).first()["a"])))
-    return df.sparkSession.createDataFrame(out, "feature string, accuracy_loss double")
+    names = [f"x_{c}" for c in K.FEATURES]
+    base = stored(base.select("_row", "source_id", "cls", *names), "rows")
+    buckets = max(LEAST_BUCKETS, -(-base.count() // EXCHANGE_ROWS))
+    ring = Window.partitionBy(F.pmod("_row", F.lit(buckets))).orderBy("_row", "source_id")
+    paired = base.withColumn("_other", F.lag(F.struct(*names)).over(ring))
+    variants = paired.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
+    shifted = variants.withColumns({n: F.when(F.col("_f") == i, F.coalesce(F.col(f"_other.{n}"), F.col(n))).otherwise(F.col(n)) for i, n in enumerate(names)})
+    scored = model.fitted.with_probabilities(shifted.drop("_other"))
+    hit = top_class(probability_map(model.classes, F.col("_p")))["cls"] == F.col("cls")
+    # One figure per feature, whatever the number of rows.
+    found = dict(scored.groupBy("_f").agg(F.avg(hit.cast("double"))).collect())
+    losses = [(c, float(found[-1] - found[i])) for i, c in enumerate(K.FEATURES)] if found else []
+    return df.sparkSession.createDataFrame(losses, "feature string, accuracy_loss double")
+
+
+def attribution(model: Boosted, features: DataFrame) -> DataFrame:
+    """(source_id, cls, base, raw, feature, contribution): what each feature adds to each class's score of each source.
+
+    ``base`` and the contributions of a source and class add up to ``raw``.
+    """
+    found = model.with_scores(numeric_features(features), contributions=True)
+    base = [float(v) for v in model.base()]
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(model.classes))), lambda k: F.struct(
+        F.element_at(F.array(*[F.lit(c) for c in model.classes]), k).alias("cls"), F.element_at(F.array(*[F.lit(v) for v in base]), k).alias("base"),
+        F.element_at("_raw", k).alias("raw"), F.element_at("_contributions", k).alias("own"),
+    )))
+    named = F.inline(F.arrays_zip(F.array(*[F.lit(f) for f in model.features]).alias("feature"), F.col("of.own").alias("contribution")))
+    return found.select("source_id", each.alias("of")).select("source_id", "of.cls", "of.base", "of.raw", named)
 
 
 def get_scorer(spark: SparkSession, backend: str = "heuristic", root: str | None = None) -> tuple:
@@ -399,7 +472,7 @@ def get_scorer(spark: SparkSession, backend: str = "heuristic", root: str | None
     if backend == "model":
         try:
             model = AnomalyModel.load(spark, root or "")
-            return model.score, "model", "Trained forest with spatial-block validation and conformal intervals."
+            return model.score, "model", "Trained trees with spatial-block validation and conformal intervals."
         except FileNotFoundError as exc:
             return classify_rules, "fallback", f"Fallback active: {exc}"
     return classify_rules, "heuristic", "Ordered rule table."

@@ -184,7 +184,7 @@ def retrieve_temperature(spark, sf):
 
 @query("SELECT source_id, round(dist_facility_m, 2) AS dist_facility_m, facility_id, facility_name, facility_sector, state FROM near")
 def nearest_facility(spark, sf):
-    return nearest.nearest_facility(W.sources(spark, sf), W.facilities(spark, sf)).select(
+    return nearest.nearest_facility(W.sources(spark, sf), W.facilities(spark, sf), index=W.site_index(spark, sf)).select(
         "source_id", r("dist_facility_m", 2), "facility_id", "facility_name", "facility_sector", "state"
     )
 
@@ -202,7 +202,7 @@ def nearest_facility_dense(spark, sf):
 
 @query("SELECT facility_id, id FROM records WHERE facility_id IS NOT NULL")
 def facility_matches(spark, sf):
-    return matches.facility_matches(W.detection_records(spark, sf), W.facilities(spark, sf))
+    return matches.facility_matches(W.detection_records(spark, sf), W.facilities(spark, sf), index=W.site_index(spark, sf))
 
 
 _pairs = f"""
@@ -769,11 +769,12 @@ def map_sites(spark, sf):
 
 @query("SELECT source_id, label, label_confidence FROM labels_w")
 def weak_labels(spark, sf):
-    return labels.label_sources(W.annotated_sources(spark, sf), W.facilities(spark, sf)).select("source_id", "label", "label_confidence")
+    found = labels.label_sources(W.annotated_sources(spark, sf), W.facilities(spark, sf), index=W.site_index(spark, sf))
+    return found.select("source_id", "label", "label_confidence")
 
 
 def _labelled(spark, sf) -> DataFrame:
-    return labels.label_sources(W.annotated_sources(spark, sf), W.facilities(spark, sf))
+    return W.labelled(spark, sf)
 
 
 @query("SELECT source_id, 5 AS n_controls, 5 AS n_in_annulus FROM labels_w WHERE label = 'FLARE'")
@@ -781,8 +782,7 @@ def negative_controls(spark, sf):
     """Controls per flare source, and how many lie 8 to 25 km from its facility."""
     labelled, fac = _labelled(spark, sf), W.facilities(spark, sf)
     controls = labels.sample_negative_controls(labelled, fac)
-    anchors = nearest.nearest_facility(labelled.filter("label = 'FLARE'").select("source_id", "centroid_lat", "centroid_lon"), fac)
-    anchors = anchors.select(F.col("source_id").alias("of"), "facility_lat", "facility_lon")
+    anchors = labelled.filter("label = 'FLARE'").select(F.col("source_id").alias("of"), "facility_lat", "facility_lon")
     pairs = controls.withColumn("of", F.regexp_extract("source_id", "^CTRL-(.*)-[0-9]+$", 1)).join(anchors, "of")
     apart = geo.haversine_m(F.col("centroid_lat"), F.col("centroid_lon"), F.col("facility_lat"), F.col("facility_lon"))
     return pairs.groupBy(F.col("of").alias("source_id")).agg(
@@ -826,8 +826,7 @@ def training_table(spark, sf):
        SELECT block_id, n, fold FROM packed WHERE rk > 0"""
 )
 def spatial_folds(spark, sf):
-    rows = training.training_rows(training.materialise(_labelled(spark, sf), W.facilities(spark, sf)))
-    return training.spatial_folds(rows)
+    return training.spatial_folds(training.labelled_blocks(_labelled(spark, sf)))
 
 
 def _predictions(spark, sf) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyrogrid import constants as K
-from pyrogrid.operators import cluster, features, ingest, landcover, queries, records, scoring
+from pyrogrid.operators import cluster, features, ingest, labels, landcover, nearest, queries, records, scoring
 from pyrogrid.operators.landcover import annotate_landcover
 from pyrogrid.session import configure, stored
 from pyrogrid.sources.detections import ROW_ORDER
@@ -79,6 +79,7 @@ _STORED: dict[tuple, DataFrame] = {}
 def forget_stored() -> None:
     """Forget all stored tables, so that the next query builds its own."""
     _STORED.clear()
+    _INDEXES.clear()
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
@@ -123,6 +124,18 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Nearest-facility indexes of this session, under the keys of the stored tables.
+_INDEXES: dict[tuple, nearest.CandidateIndex] = {}
+
+
+def site_index(spark: SparkSession, sf_dir: str) -> nearest.CandidateIndex:
+    """The registry's index, built on first use and shared by all joins."""
+    key = _stamp(spark, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = nearest.facility_index(facilities(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def dense_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry of one site per row of ``orders``, spread over the whole region."""
     k = F.col("o_orderkey")
@@ -171,13 +184,23 @@ def annotated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.build_features(annotated_sources(spark, sf_dir), facilities(spark, sf_dir))
+    index = site_index(spark, sf_dir)
+    return features.build_features(annotated_sources(spark, sf_dir), facilities(spark, sf_dir), index=index)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.classify_rules(feature_rows(spark, sf_dir))
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored labelled sources with their nearest facility, which all label jobs start from."""
+    def build() -> DataFrame:
+        index = site_index(spark, sf_dir)
+        return labels.label_sources(annotated_sources(spark, sf_dir), facilities(spark, sf_dir), index=index, keep_nearest=True)
+
+    return _keep(spark, sf_dir, "labelled", build)
+
+
 def detection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store's detection table, which all reads and roll-ups run on."""
     return _keep(spark, sf_dir, "records", lambda: records.build_records(scored(spark, sf_dir)))

@@ -33,7 +33,7 @@ def test_split_index_equals_full_search(spark, monkeypatch, broadcast):
     points.loc[401:450, ["lat", "lon"]] = np.column_stack([rng.uniform(-40, 60, 50), rng.uniform(20, 150, 50)])
     sp = spark.createDataFrame(points).union(spark.createDataFrame([(m, None, 70.0)], "id long, lat double, lon double"))
     index = nearest.facility_index(spark.createDataFrame(fac))
-    assert len(index.depths) > 1
+    assert len(index.depths) > 1 and index.entries < 60_000
     got = nearest.nearest_facility(sp, spark.createDataFrame(fac), "lat", "lon", index=index).orderBy("id").toPandas()
     assert len(got) == m + 1
     assert pd.isna(got.dist_facility_m.iloc[m]) and got.facility_id.iloc[m] is None

@@ -51,10 +51,56 @@ def test_merge_equals_the_sequential_pass(spark):
         assert abs(r["lat"] - g["lat"]) < 2e-6 and abs(r["lon"] - g["lon"]) < 2e-6
 
 
-def test_components_of_a_long_chain(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 102), (102, 100)]
-    got = dict(map(tuple, registry.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
-    assert {got.get(i, i) for i in range(61)} == {0} and {got.get(i, i) for i in range(100, 104)} == {100}
+def plain_sweep(rows):
+    """The sequential pass with only the groups near the current latitude held."""
+    reach, held, out = math.degrees(500 / K.EARTH_RADIUS_M) * (1 + 1e-9), [], []
+    for name, lat, lon, _, source, _ in sorted(rows, key=lambda r: (r[1], r[2], K.SOURCE_PRIORITY[r[4]], r[5])):
+        out += [g for g in held if lat - g[0] > reach]
+        held = [g for g in held if lat - g[0] <= reach]
+        gaps = [metres(lat, lon, g[0], g[1]) for g in held]
+        if gaps and min(gaps) <= 500:
+            g = held[gaps.index(min(gaps))]
+            g[0], g[1], g[2] = (g[0] * g[2] + lat) / (g[2] + 1), (g[1] * g[2] + lon) / (g[2] + 1), g[2] + 1
+            g[4].add(source)
+        else:
+            held.append([lat, lon, 1, name, {source}])
+    return sorted((g[3], round(g[0], 9), round(g[1], 9), tuple(sorted(g[4]))) for g in out + held)
+
+
+def test_a_chain_of_100000_sites_in_many_bands(spark, monkeypatch):
+    monkeypatch.setattr(registry, "BAND_ROWS", 2_000)
+    rng = np.random.default_rng(11)
+    # One component from end to end: steps north of up to 600 m with some width, 100,000 positions.
+    lat = 8.0 + np.cumsum(rng.random(100_000) * 0.0004)
+    lon = 77.0 + rng.random(100_000) * 0.02
+    rows = [(f"s{i}", float(a), float(b), "STEEL", ["GEM", "OSM", "MANUAL"][i % 3], f"{i:06d}") for i, (a, b) in enumerate(zip(lat, lon))]
+    df = spark.createDataFrame(rows, "name string, lat double, lon double, sector string, source string, site_rank string")
+    bands = registry.latitude_bands(df)
+    assert bands.select("band").distinct().count() >= 50
+    got = sorted((r["name"], round(r["lat"], 9), round(r["lon"], 9), tuple(sorted(r["sources"]))) for r in registry.merge_sites(df).collect())
+    assert got == plain_sweep(rows)
+
+
+def test_bands_that_never_forget_agree_in_the_end(spark, monkeypatch):
+    """Equal steps keep a wrong start for good, so every band is merged again in turn."""
+    monkeypatch.setattr(registry, "BAND_ROWS", 40)
+    step = math.degrees(300 / K.EARTH_RADIUS_M)
+    rows = [(f"s{i:04d}", 10.0 + i * step, 75.0, "UNKNOWN", "OSM", f"{i:06d}") for i in range(400)] + [("far", 50.0, 179.9999, "STEEL", "GEM", "x"), ("none", None, 1.0, "STEEL", "GEM", "y")]
+    df = spark.createDataFrame(rows, "name string, lat double, lon double, sector string, source string, site_rank string")
+    got = sorted((r["name"], round(r["lat"], 9), round(r["lon"], 9), tuple(sorted(r["sources"]))) for r in registry.merge_sites(df).collect())
+    assert got == plain_sweep(rows[:-1])
+    assert registry.merge_sites(df.limit(0)).count() == 0
+
+
+def test_bands_are_cut_at_gaps(spark, monkeypatch):
+    monkeypatch.setattr(registry, "BAND_ROWS", 10)
+    lats = [10 + i * 0.001 for i in range(8)] + [10.5 + i * 0.001 for i in range(8)] + [11 + i * 0.001 for i in range(30)]
+    found = registry.latitude_bands(spark.createDataFrame([(float(v + 0.0005),) for v in lats], "lat double")).collect()
+    first = {}
+    for r in sorted(found):
+        first.setdefault(r["band"], r["strip"])
+    assert [round(v * 0.001, 3) for v in first.values()][:3] == [10.0, 10.5, 11.0] and len(first) == 5
+    assert sorted({r["upper"] for r in found})[-1] == math.inf
 
 
 def test_registry_files_and_seed(spark, tmp_path):
