@@ -34,6 +34,16 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def free_name(wanted: str, *taken: list[str]) -> str:
+    """``wanted``, or its first numbered form that no listed name equals in any case."""
+    used = {name.lower() for names in taken for name in names}
+    name, k = wanted, 0
+    while name.lower() in used:
+        k += 1
+        name = f"{wanted}_{k}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyrogrid.llm.chunking import masked_cuts
-from pyrogrid.llm.common import ascii_lower, list_array, rows_of, texts_of
+from pyrogrid.llm.common import free_name, list_array, rows_of, texts_of
 from pyrogrid.session import stored
 
 AVERAGE, LEAST, MOST = 4096, 1024, 32768
@@ -107,15 +107,12 @@ def _numbered(own: DataFrame, docs: DataFrame, found: DataFrame, digest_bits: in
     return joined.select("row", "doc_id", "text_sha256", ids.alias("recipe"))
 
 
-def groups(docs: DataFrame, digest_bits: int = DIGEST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256): one row per row of ``docs``."""
-    own_texts = texts_of(docs, id_col, text_col)
-    found = clashes(own_texts, digest_bits)
-    own = stored(recipes(own_texts, digest_bits).withColumn("row", F.monotonically_increasing_id()), "recipes")
+def _best(own: DataFrame, texts: DataFrame, found: DataFrame, digest_bits: int) -> DataFrame:
+    """``own`` (row, doc_id, text_sha256, digests of ``texts``) with keep_id, group_size and kept."""
     if found.isEmpty():
         own = own.select("row", "doc_id", "text_sha256", F.col("digests").alias("recipe"))
     else:
-        own = stored(_numbered(own, own_texts, found, digest_bits), "recipes")
+        own = stored(_numbered(own, texts, found, digest_bits), "recipes")
     own = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     # Nulls order first in a struct, so a row with an id wins over one without.
     parts = own.groupBy("recipe", "salt").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -123,21 +120,29 @@ def groups(docs: DataFrame, digest_bits: int = DIGEST_BITS, id_col: str = "doc_i
     # A group's result goes only to the keys that its rows have.
     best = best.select("recipe", "best", "group_size", F.explode("salts").alias("salt"))
     return own.join(best, ["recipe", "salt"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
+        "row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
     )
 
 
-def _key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id, F.lit(-(2**63)))
+def groups(docs: DataFrame, digest_bits: int = DIGEST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256): one row per row of ``docs``."""
+    own_texts = texts_of(docs, id_col, text_col)
+    found = clashes(own_texts, digest_bits)
+    own = stored(recipes(own_texts, digest_bits).withColumn("row", F.monotonically_increasing_id()), "recipes")
+    return _best(own, own_texts, found, digest_bits).drop("row")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, digest_bits: int = DIGEST_BITS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any other columns) that stay, with all their columns.
 
-    Rows that repeat both id and text are one document and stay once.
+    Rows are stored with numbers of their own; recipes carry these numbers, and only the
+    numbers that stay meet the texts again.  Of rows that repeat an id and a text one stays.
     """
-    kept = groups(docs).filter("kept").select(_key(F.col("doc_id")).alias("_key"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    same = Window.partitionBy("_key", "_sha").orderBy(F.lit(0))
-    found = docs.withColumns({"_key": _key(F.col("doc_id")), "_sha": sha}).join(kept, ["_key", "_sha"], "left_semi")
-    return found.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(docs.columns)
+    row = free_name("row", docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = texts_of(numbered, row)
+    found = clashes(texts, digest_bits)
+    own = recipes(texts, digest_bits).withColumnRenamed("doc_id", "row")
+    own = stored(own.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("doc_id")), "row"), "recipes")
+    kept = _best(own, texts, found, digest_bits).filter("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(docs.columns)

@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyrogrid.llm.common import list_array, rows_of, texts_of
-from pyrogrid.operators.registry import connected_components
+from pyrogrid.llm.common import free_name, list_array, rows_of, texts_of
+from pyrogrid.llm.graph import connected_components
 from pyrogrid.session import stored
 
 SHINGLE = 3
@@ -38,6 +38,10 @@ SEED = 42
 DISTANCE = 2
 # Two sets at Jaccard similarity 0.8 share no band key with probability (1 - 0.8 ** 3) ** 24 = 3e-8.
 BANDS, BAND_ROWS = 24, 3
+# Keys that the rows of one fingerprint are dealt to.
+SALTS = 64
+# Further sets that all others of a band key are compared with, and how the work of one key is dealt.
+PIVOTS, PAIRS_PER_KEY, SETS_PER_BLOCK = 2, 256, 128
 _random = np.random.RandomState(SEED)
 MULTIPLY = _random.randint(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FLIP = _random.randint(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2)
@@ -126,7 +130,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``links`` counts the other fingerprints that the row's fingerprint links to.
     """
-    own = stored(fingerprints(texts_of(docs, id_col, text_col), shingle), "fingerprints")
+    # Rows of one fingerprint are dealt to SALTS keys, so that a group with a third of all rows is not one task's.
+    own = fingerprints(texts_of(docs, id_col, text_col), shingle)
+    own = stored(own.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     pairs = stored(links(distinct.select("fp")), "links")
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -141,7 +147,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         placed.join(smallest, "root").join(degree, F.col("fp") == F.col("src"), "left")
         .select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     )
-    return own.join(stored(by_fp, "components"), "fp").select(
+    dealt = own.select("fp", "salt").distinct().join(stored(by_fp, "components"), "fp")
+    return own.join(dealt, ["fp", "salt"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links"
     )
 
@@ -179,12 +186,40 @@ def _alike(a: str, b: str, similarity: float) -> Column:
     return both / (F.size(a) + F.size(b) - both) >= similarity
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) of ``pairs`` whose whole sets have this similarity.
+
+    A set that many others are compared with is dealt to as many keys as they need.
+    """
+    salts = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_KEY).cast("int").alias("salts"))
+    left = pairs.join(salts, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
+    left = left.join(sets.select(F.col("set").alias("dst"), F.col("hashes").alias("a")), "dst")
+    right = salts.join(sets.select(F.col("set").alias("src"), F.col("hashes").alias("b")), "src")
+    right = right.select("src", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["src", "salt"]).filter(_alike("a", "b", similarity)).select("src", "dst")
+
+
+def _close(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can have the similarity at all."""
+    return F.least(a, b) / F.greatest(a, b) >= similarity
+
+
+def _placed(hits: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, set, size, part) of the keys whose sets are not yet all connected."""
+    found = connected_components(links)
+    placed = hits.join(found, F.col("set") == F.col("node"), "left").select("key", "set", "size", F.coalesce("component", "set").alias("part"))
+    placed = stored(placed, "placed")
+    return placed.join(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key"), "key")
+
+
 def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(doc_id, root) of (doc_id, text) with unique ids: connected by Jaccard ``similarity`` of the word shingles.
 
     Texts of equal sets are one.  Sets that share a band key are candidates, and every
     link is verified on the whole sets.  A key's sets are first compared with its
-    smallest one; then only those that are not yet connected are compared with each other.
+    smallest one and with PIVOTS others, which connects most of a large group.  Then
+    every set outside a key's largest connected part is compared with all sets of other
+    parts, in blocks of the key's sets, so no key is one task's.
     """
     own = stored(shingle_sets(docs, shingle, False).drop("hashes"), "bands")
     distinct = own.groupBy("digest").agg(F.min("doc_id").alias("set"))
@@ -195,46 +230,55 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFram
     some = docs.join(hits.select(F.col("set").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(shingle_sets(some, shingle, True).select(F.col("doc_id").alias("set"), "keys", "hashes"), "sets")
 
-    stars = hits.filter("set <> least").select("set", F.col("least").alias("src")).distinct()
-    stars = stars.join(sets.select("set", F.col("hashes").alias("a")), "set").withColumnRenamed("set", "dst")
-    stars = stars.join(sets.select(F.col("set").alias("src"), F.col("hashes").alias("b")), "src")
-    first = stored(stars.filter(_alike("a", "b", similarity)).select("src", "dst"), "links")
-
-    found = connected_components(first)
-    placed = hits.filter("set <> least and n > 2").join(found, F.col("set") == F.col("node"), "left").withColumn("part", F.coalesce("component", "set"))
-    placed = stored(placed.select("key", "set", "size", "part"), "placed")
-    open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    rest = stored(placed.join(open_, "key").join(sets, "set"), "open")
-    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "size", "part", "keys", "hashes")]) for x in "ab")
-    close = F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= similarity
-    # Of the keys that two sets share, the smallest compares them.
+    stars = hits.filter("set <> least").select(F.col("least").alias("src"), F.col("set").alias("dst")).distinct()
+    links = stored(_verified(stars, sets, similarity), "links")
+    several = hits.filter("n > 2").select("key", "set", "size")
+    for pivot in range(PIVOTS):
+        open_ = _placed(several, links)
+        chosen = open_.groupBy("key").agg(F.min_by(F.struct("set", "size", "part"), F.xxhash64("set", F.lit(pivot))).alias("p"))
+        pairs = open_.join(chosen, "key").filter((F.col("part") != F.col("p.part")) & _close("size", "p.size", similarity))
+        more = _verified(pairs.select(F.col("p.set").alias("src"), F.col("set").alias("dst")).distinct(), sets, similarity)
+        links = stored(links.unionByName(more), "links")
+
+    open_ = stored(_placed(several, links), "open")
+    parts = open_.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
+    largest = parts.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.ceil(F.sum("m") / SETS_PER_BLOCK).cast("int").alias("blocks"))
+    rest = open_.join(largest, "key").join(sets, "set")
+    named = {c: F.col(c) for c in ("set", "size", "part", "keys", "hashes")}
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    a = rest.filter("part <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[v.alias(f"{c}_a") for c, v in named.items()])
+    b = rest.select("key", block.alias("block"), "largest", *[v.alias(f"{c}_b") for c, v in named.items()])
+    # Of the keys that two sets share, the smallest compares them; two sets outside the largest part meet twice, one is enough.
     here = F.array_min(F.array_intersect("keys_a", "keys_b")) == a["key"]
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("set_a") < F.col("set_b")) & (F.col("part_a") != F.col("part_b")) & close & here & _alike("hashes_a", "hashes_b", similarity))
-    second = stored(met.select(F.col("set_a").alias("src"), F.col("set_b").alias("dst")), "links")
+    once = (F.col("part_b") == F.col("largest")) | (F.col("set_a") < F.col("set_b"))
+    met = a.join(b, (a["key"] == b["key"]) & (a["block"] == b["block"]) & (F.col("part_a") != F.col("part_b")) & once & _close("size_a", "size_b", similarity))
+    second = stored(met.filter(here & _alike("hashes_a", "hashes_b", similarity)).select(F.col("set_a").alias("src"), F.col("set_b").alias("dst")), "links")
 
-    if not second.isEmpty():
-        found = connected_components(first.unionByName(second))
-    named = distinct.join(found, F.col("set") == F.col("node"), "left").select("digest", F.coalesce("component", "set").alias("root"))
-    return own.join(named, "digest").select("doc_id", "root")
+    found = connected_components(links.unionByName(second))
+    named_sets = distinct.join(found, F.col("set") == F.col("node"), "left").select("digest", F.coalesce("component", "set").alias("root"))
+    return own.join(named_sets, "digest").select("doc_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id.
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id.
 
     Rows are linked by fingerprints at DISTANCE or less, or, where a ``similarity`` is
     given, by that Jaccard similarity of their sets of shingles.  Rows without id stay
     only where their whole component lacks ids, and of rows that repeat an id, or all
     lack one, one stays per component.
     """
-    own = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row = free_name("row", docs.columns)
+    own = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = texts_of(own, row)
     if similarity is None:
-        prints = stored(fingerprints(texts_of(own, "_row"), shingle), "fingerprints")
+        prints = stored(fingerprints(texts, shingle), "fingerprints")
         found = connected_components(stored(links(prints.select("fp").distinct()), "links"))
         placed = prints.join(found, prints["fp"] == found["node"], "left").select("doc_id", F.coalesce("component", "fp").alias("root"))
     else:
-        placed = similar_groups(texts_of(own, "_row"), shingle, similarity)
-    placed = placed.select(F.col("doc_id").alias("_row"), F.col("root").alias("_root"))
+        placed = similar_groups(texts, shingle, similarity)
+    placed = placed.select(F.col("doc_id").alias("place"), "root")
     # Nulls order first in a struct, so whether the id is missing comes before it.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    kept = own.select("doc_id", "_row").join(placed, "_row").groupBy("_root").agg(first).select("first._row")
-    return own.join(kept, "_row", "left_semi").select(docs.columns)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first")
+    ids = own.select(F.col("doc_id").alias("id"), F.col(row).alias("place"))
+    kept = ids.join(placed, "place").groupBy("root").agg(first).select(F.col("first.place").alias(row))
+    return own.join(kept, row, "left_semi").select(docs.columns)

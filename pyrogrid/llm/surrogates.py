@@ -26,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyrogrid.llm.common import free_name
 from pyrogrid.session import stored
 
 KEY = "pyrogrid-surrogates"
@@ -46,7 +47,10 @@ SCRIPTS = {
 }
 
 # Runs of letters are entered at their start only and never given back, so no text takes quadratic time.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A domain goes on to its last label that starts with two letters, and ends with that label's letters.  Labels are
+# taken for good one after the other, as a loop that may give them back keeps a stack frame for each.
+PLAIN_LABELS = r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+"
+EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++{PLAIN_LABELS}\.(?=[A-Za-z]{{2}})(?:[A-Za-z0-9-]++{PLAIN_LABELS}\.(?=[A-Za-z]{{2}}))*+[A-Za-z]++"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<=[=:\"' ])(?<=[=:][ ]{0,3}[\"']?)(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}+={0,2}"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"
@@ -150,9 +154,10 @@ def _units(found: Column, kind: Column) -> Column:
 def _draws(key: str, kind: Column, canon: Column, level: Column, count: Column) -> Column:
     """Array of at least ``count`` numbers below 65,536, from the keyed hash of a unit."""
     seed = F.concat_ws("\u0001", F.lit(key), kind, canon, level.cast("string"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(count / 16).cast("int")), lambda b: F.sha2(F.concat_ws("\u0001", seed, b.cast("string")), 256))
-    stream = F.array_join(blocks, "")
-    return F.transform(F.sequence(F.lit(0), count.cast("int")), lambda k: F.conv(F.substr(stream, k * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    # Sixteen numbers of each digest: every substring is of 64 characters, so long values take no quadratic time.
+    block = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.conv(F.substr(digest, k * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    digests = F.transform(F.sequence(F.lit(0), F.floor(count / 16).cast("int")), lambda b: F.sha2(F.concat_ws("\u0001", seed, b.cast("string")), 256))
+    return F.flatten(F.transform(digests, block))
 
 
 def _pick(alphabet: str, draw: Column) -> Column:
@@ -348,30 +353,38 @@ def raised(found: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _levels(docs: DataFrame, lifted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _levels): the raised units of each document that has any."""
+    """(key, levels): the raised units of each document that has any."""
     few = lifted.count() <= BROADCAST_RAISED
-    each = docs.select(F.col(id_col).alias("_id"), F.explode(entities(F.col(text_col))).alias("found")).select("_id", F.inline(units_of(F.col("found"))))
-    hits = each.join(F.broadcast(lifted) if few else lifted, ["kind", "canon"]).select("_id", F.concat_ws("\u0001", "kind", "canon").alias("unit"), "level").distinct()
-    return hits.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "level"))).alias("_levels"))
+    each = docs.select(F.col(id_col).alias("key"), F.explode(entities(F.col(text_col))).alias("found")).select("key", F.inline(units_of(F.col("found"))))
+    hits = each.join(F.broadcast(lifted) if few else lifted, ["kind", "canon"]).select("key", F.concat_ws("\u0001", "kind", "canon").alias("unit"), "level").distinct()
+    return hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("unit", "level"))).alias("levels"))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in the text, and ``entity_kinds``: the kinds found, in order."""
+    """``docs`` with surrogates in the text, and the kinds found, in order, as ``entity_kinds``.
+
+    All other columns are passed through whatever their names; where ``docs`` has an
+    ``entity_kinds`` of its own, the kinds get the first free name entity_kinds_1, ...
+    A text of any length is one row's work; its time grows with its length and, where
+    names occur, with its entities times its capitalised words.
+    """
+    taken = docs.columns
+    kinds = free_name("entity_kinds", taken)
+    own_key, own_levels, own_found, own_names = (free_name(n, taken) for n in ("_key", "_levels", "_found", "_names"))
     lifted = stored(raised(stored(units(docs, text_col), "units"), key), "raised")
     if lifted.isEmpty():
         joined, levels = docs, None
     else:
-        own = _levels(docs, lifted, id_col, text_col)
-        joined = docs.join(own, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-        levels = F.coalesce(F.col("_levels"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))
-    text, found = F.col(text_col), F.col("_found")
-    joined = joined.withColumn("_found", entities(text))
+        own = _levels(docs, lifted, id_col, text_col).select(F.col("key").alias(own_key), F.col("levels").alias(own_levels))
+        joined = docs.join(own, F.col(id_col).eqNullSafe(F.col(own_key)), "left").drop(own_key)
+        levels = F.coalesce(F.col(own_levels), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))
+    text, found, names = F.col(text_col), F.col(own_found), F.col(own_names)
+    joined = joined.withColumn(own_found, entities(text))
     new = F.transform(found, lambda m: replacement(m, levels, key))
-    names = F.col("_names")
-    joined = joined.withColumn("_names", names_of(found, levels, key))
+    joined = joined.withColumn(own_names, names_of(found, levels, key))
     between = F.split(text, ENTITY, -1)
-    between = F.when(F.size("_names") > 0, F.transform(between, lambda part: _mentions(part, names))).otherwise(between)
+    between = F.when(F.size(names) > 0, F.transform(between, lambda part: _mentions(part, names))).otherwise(between)
     parts = F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
     shown = [changed.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*shown, F.transform(found, kind_of).alias("entity_kinds"))
+    return joined.select(*shown, F.transform(found, kind_of).alias(kinds))

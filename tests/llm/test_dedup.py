@@ -224,3 +224,34 @@ def test_large_groups_of_copies_stay_whole(spark):
     group = exact_dedup.groups(docs).filter("group_size > 1")
     assert group.count() == 1000 and group.select("keep_id").distinct().first()[0] == 2997
     assert simhash.components(docs).filter("component_id = 0").count() == 1000
+
+
+HELPERS = ["row", "row_1", "_row", "id", "place", "root", "_key", "_sha", "_n", "salt", "digest", "fp", "key", "part", "text_sha256", "recipe"]
+
+
+def test_stages_pass_columns_named_like_helpers(spark):
+    rows = [(1, "one two three four five six seven"), (2, "ONE two three four five six seven"), (None, "other words in this one here"), (None, "other words in this one here"), (4, None)]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{k}" for n in HELPERS]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in HELPERS))
+    exact = exact_dedup.keep_one(docs)
+    near = simhash.keep_one(docs, 5, 0.8)
+    bits = simhash.keep_one(docs)
+    assert exact.columns == near.columns == bits.columns == docs.columns
+    given = {tuple(r) for r in docs.collect()}
+    for out, ids in ((exact, [2, 4, None]), (near, [1, 4, None]), (bits, [1, 4, None])):
+        found = out.collect()
+        assert {tuple(r) for r in found} <= given and sorted((r.doc_id for r in found), key=str) == sorted(ids, key=str)
+
+
+def test_a_large_group_is_connected_through_pivots_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS_PER_BLOCK", 7)
+    monkeypatch.setattr(simhash, "PAIRS_PER_KEY", 5)
+    draw = random.Random(5)
+    base = words(77, 60).split()
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(draw.choice((0, 1, 2, 3))):
+            text[draw.randrange(60)] = words(10_000 + i, 1)
+        rows.append((i, " ".join(text)))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(naive_similar(rows))

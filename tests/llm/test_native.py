@@ -115,6 +115,25 @@ def test_clashing_surrogates_are_raised_until_distinct(spark, monkeypatch):
     assert not {f[0] for f in found.values()} & {f"20.30.{i}.7" for i in range(40)}
 
 
+def test_very_long_addresses(spark):
+    long = ["x@" + "a." * 500_000 + "com", "x@" + "a." * 500_000 + "1 end", "y@" + "bc." * 200_000 + "org2 z"]
+    found = dict(tuple(r) for r in spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").select("doc_id", surrogates.entities(F.col("text"))).collect())
+    assert found == {0: [long[0]], 1: [], 2: [long[2][: -len("2 z")]]}
+    docs = spark.createDataFrame([(0, "x@" + "a." * 5_000 + "com"), (1, "a@b.com-x c@d.e.fg1.h2 i@j..kl m@n.o p@q.rs.t.")], "doc_id long, text string")
+    changed = {r.doc_id: r for r in surrogates.pseudonymise(docs).collect()}
+    assert len(changed[0].text) == len("x@" + "a." * 5_000 + "com") and changed[0].text.endswith(".com") and "a.a.a.a.a" not in changed[0].text
+    assert [len(r.entity_kinds) for _, r in sorted(changed.items())] == [1, 3]
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    names = ["_found", "_names", "_levels", "_key", "_key_1", "found", "key", "levels", "entity_kinds", "kind", "canon", "surrogate"]
+    docs = spark.createDataFrame([(1, "Mr Smith wrote to a@b.com", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = surrogates.pseudonymise(docs)
+    assert out.columns == [*docs.columns, "entity_kinds_1"]
+    for r in out.collect():
+        assert [r[n] for n in names] == names and (r.text is None or "Smith" not in r.text and "a@b" not in r.text)
+
+
 def test_surrogates_of_an_empty_table_and_native_plan(spark):
     assert surrogates.pseudonymise(frame(spark, [])).count() == 0
     plan = surrogates.pseudonymise(frame(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
