@@ -6,6 +6,8 @@ chunks of a passage as they are.  Chunks are grouped by digest; a digest found i
 different documents is repeated.  Neighbouring repeated chunks of a document form a
 run, and runs of MIN_WORDS words or more are reported: at least that much of a
 repeated passage of 50 words lies within whole chunks, while a common line stays below.
+Where white space does not tell words (the run has WORD_CHARS code points a word or
+more), runs of MIN_WORDS times half as many code points are reported as well.
 A run is divided into spans of first and of later copies, which may be shorter.
 
 Positions are in code points of the original text.  Null and empty texts have no
@@ -31,6 +33,8 @@ RADIUS = 16
 # Texts without a peak (one short pattern over and over) are cut at this many bytes.
 MOST_BYTES = 512
 MIN_WORDS = 25
+# No script that separates its words has words of this many code points on average.
+WORD_CHARS = 20
 
 
 def _cut(text: bytes, radius: int) -> np.ndarray:
@@ -112,8 +116,10 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, id_
         F.aggregate(inside, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_words"),
         (F.col("tail") - F.col("head") + 1).cast("long").alias("n_chunks"), "first_doc_id",
         F.col("own").alias("is_first"), run_words.alias("_words"),
+        (F.element_at("ends", F.col("to") + 1) - F.when(F.col("from") == 0, F.lit(0)).otherwise(F.element_at("ends", F.col("from")))).alias("_chars"),
     )
-    return found.filter(F.col("_words") >= min_words).drop("_words")
+    unbroken = (F.col("_chars") >= WORD_CHARS * F.col("_words")) & (F.col("_chars") >= min_words * WORD_CHARS // 2)
+    return found.filter((F.col("_words") >= min_words) | unbroken).drop("_words", "_chars")
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

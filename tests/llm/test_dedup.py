@@ -204,6 +204,15 @@ def test_substring_counts_a_repeated_row_as_one_document(spark):
     assert {r.doc_id for r in substring_dedup.spans(frame(spark, [(1, text), (1, text), (2, text)])).collect()} == {1, 2}
 
 
+def test_substring_finds_passages_of_scripts_without_spaces(spark):
+    draw = random.Random(4)
+    passage, *others = ("".join(chr(0x4E00 + draw.randrange(4000)) for _ in range(n)) for n in (400, 300, 300, 120))
+    rows = [(1, others[0] + passage), (2, passage + others[1]), (3, others[2]), (4, "x" + others[2])]
+    got = substring_dedup.spans(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {1, 2} and {r.doc_id for r in got if r.is_first} == {1}
+    assert all(r.end - r.start > 330 and rows[r.doc_id - 1][1][r.start : r.end] in passage for r in got)
+
+
 def test_substring_first_copy_is_whole_where_an_earlier_text_has_a_part(spark):
     left, line, right = words(70, 22), words(71, 20), words(72, 22)
     passage = f"{left} {line} {right}"
