@@ -24,7 +24,7 @@ from pyrogrid.operators.features import build_features, check_leakage
 from pyrogrid.operators.nearest import CandidateIndex
 from pyrogrid.operators.scoring import classify_rules, offshore
 from pyrogrid.session import stored
-from pyrogrid.sources import store
+from pyrogrid.sources import files
 
 
 def offending_labels(df: DataFrame, column: str = "label") -> DataFrame:
@@ -325,8 +325,7 @@ class AnomalyModel:
         """Read a saved model; ``FileNotFoundError`` names what is missing."""
 
         def there(part: str) -> bool:
-            path, fs = store._path(spark, f"{root}/{part}")
-            return fs.exists(path)
+            return files.exists(spark, f"{root}/{part}")
 
         kind = "boosted" if there("nodes") else "forest"
         missing = [part for part in PARTS[kind] if not there(part)]
@@ -452,19 +451,26 @@ def permutation_importance(model: AnomalyModel, df: DataFrame, seed: int = 7) ->
     return df.sparkSession.createDataFrame(losses, "feature string, accuracy_loss double")
 
 
+def contributions_of(model: Boosted, rows: DataFrame) -> DataFrame:
+    """(source_id, cls, base, raw, feature, contribution) of rows with source_id and ``x_`` columns."""
+    found = model.with_scores(rows, contributions=True)
+    parts = [
+        F.struct(F.lit(c).alias("cls"), F.lit(float(v)).alias("base"), F.element_at("_raw", k).alias("raw"), F.element_at("_contributions", k).alias("own"))
+        for k, (c, v) in enumerate(zip(model.classes, model.base(), strict=True), 1)
+    ]
+    each = found.select("source_id", F.explode(F.array(*parts)).alias("of")).select("source_id", "of.*")
+    names = F.array(*[F.lit(f) for f in model.features])
+    return each.select("source_id", "cls", "base", "raw", F.posexplode("own").alias("_at", "contribution")).select(
+        "source_id", "cls", "base", "raw", F.element_at(names, F.col("_at") + 1).alias("feature"), "contribution"
+    )
+
+
 def attribution(model: Boosted, features: DataFrame) -> DataFrame:
     """(source_id, cls, base, raw, feature, contribution): what each feature adds to each class's score of each source.
 
     ``base`` and the contributions of a source and class add up to ``raw``.
     """
-    found = model.with_scores(numeric_features(features), contributions=True)
-    base = [float(v) for v in model.base()]
-    each = F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(model.classes))), lambda k: F.struct(
-        F.element_at(F.array(*[F.lit(c) for c in model.classes]), k).alias("cls"), F.element_at(F.array(*[F.lit(v) for v in base]), k).alias("base"),
-        F.element_at("_raw", k).alias("raw"), F.element_at("_contributions", k).alias("own"),
-    )))
-    named = F.inline(F.arrays_zip(F.array(*[F.lit(f) for f in model.features]).alias("feature"), F.col("of.own").alias("contribution")))
-    return found.select("source_id", each.alias("of")).select("source_id", "of.cls", "of.base", "of.raw", named)
+    return contributions_of(model, numeric_features(features))
 
 
 def get_scorer(spark: SparkSession, backend: str = "heuristic", root: str | None = None) -> tuple:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,14 @@ from pyspark.sql import functions as F
 from pyrogrid import constants as K
 from pyrogrid.functions import geo, physics, text
 from pyrogrid.operators import (
-    checks, cluster, features, ingest, labels, landcover, matches, nearest, profiler, queries as reads, records,
+    boosting, checks, cluster, features, ingest, labels, landcover, matches, nearest, profiler, queries as reads, records,
     registry, severity as severities, training,
 )
 from pyrogrid.plans import oracles, workload as W
 from pyrogrid.session import scratch_path
 from pyrogrid.sources import registry as sites, store
 from pyrogrid.sources.detections import list_files, read_detections
-from pyrogrid.streaming import jobs
+from pyrogrid.streaming import events, jobs, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -658,6 +659,21 @@ def profile_persistent(spark, sf):
     )
 
 
+@query("SELECT facility_id, name FROM fac WHERE sector = 'STEEL'")
+def facilities_of_sector(spark, sf):
+    return reads.facilities_by_sector(W.facilities(spark, sf), "STEEL").select("facility_id", "name")
+
+
+@query("SELECT source_id, row_number() OVER (ORDER BY lat_cell, lon_cell) AS position FROM sources")
+def sorted_export(spark, sf):
+    """Sources exported in cell order, with each row's place in the files."""
+    cells = cluster.with_cells(W.detections(spark, sf)).select(*cluster.CELL).distinct()
+    placed = cells.withColumn("source_id", geo.source_id(*[F.col(c) for c in cluster.CELL]))
+    path = scratch_path(spark, "export")
+    store.write_sorted(W.sources(spark, sf).join(placed, "source_id"), path, cluster.CELL)
+    return store.file_order(spark, path).select("source_id", "position")
+
+
 # --- registry ----------------------------------------------------------------------------------
 
 
@@ -874,6 +890,96 @@ def block_summary(spark, sf):
     return training.block_summary(df.withColumn("block_id", geo.block_id(F.col("centroid_lat"), F.col("centroid_lon"))))
 
 
+@query(
+    """SELECT source_id, label, FALSE AS is_control FROM labels_w
+       UNION ALL SELECT printf('CTRL-%s-%04d', source_id, k), 'UNLABELLED', TRUE FROM labels_w, range(5) t(k) WHERE label = 'FLARE'"""
+)
+def labelled_set(spark, sf):
+    """The labelled table as it is stored: sources and negative controls."""
+    root = scratch_path(spark, "labelled")
+    table = labels.save_labelled(W.annotated_sources(spark, sf), W.facilities(spark, sf), root, index=W.site_index(spark, sf))
+    return table.select("source_id", "label", labels.is_control(table).alias("is_control"))
+
+
+# Features of the small boosting queries: whole numbers and hundredths, so that sums agree in any engine.
+PLAIN_FEATURES = ["n_hits", "n_days", "n_nights", "span_days", "frp_max", "ti4_max"]
+
+
+def _plain_rows(spark, sf) -> DataFrame:
+    rows = W.labelled(spark, sf).filter(F.col("label") != K.UNLABELLED)
+    return rows.select("source_id", *[F.col(c).cast("double").alias(f"x_{c}") for c in PLAIN_FEATURES], F.col("label").alias("cls"), F.lit(1.0).alias("weight"))
+
+
+# The first cut of each class, by trying every cut of every feature on the slopes of equal chances.
+FIRST_CUTS = """, rows_b AS (
+    SELECT l.source_id, l.label AS cls, s.n_hits, s.n_days, s.n_nights, s.span_days, s.frp_max, s.ti4_max FROM labels_w l JOIN sources s USING (source_id)
+    WHERE l.label <> 'UNLABELLED'),
+  long_b AS (
+    SELECT source_id, cls, f.i AS f, f.name, CASE f.name {cases} END::double AS x FROM rows_b, (VALUES {names}) f(i, name)),
+  ranked_b AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS r, count(*) OVER (PARTITION BY f) AS n, max(x) OVER (PARTITION BY f) AS top FROM long_b),
+  cuts_b AS (SELECT DISTINCT f, x AS cut FROM ranked_b, range(1, 32) p(i) WHERE r = ceil(p.i * n / 32.0::double) AND x < top),
+  classes_b AS (SELECT cls AS c, (SELECT count(DISTINCT cls) FROM rows_b) AS k FROM rows_b GROUP BY cls),
+  sums_b AS (
+    SELECT c, f, cut, sum(g) FILTER (x <= cut) AS gl, sum(h) FILTER (x <= cut) AS hl, sum(g) AS g, sum(h) AS h FROM (
+      SELECT c, l.f, cut, x, 1.0::double / k - (cls = c)::int AS g, 2 * (1.0::double / k) * (1 - 1.0::double / k) AS h
+      FROM long_b l JOIN cuts_b q ON q.f = l.f, classes_b) GROUP BY c, f, cut),
+  gains_b AS (
+    SELECT *, round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 9) AS gain FROM sums_b WHERE hl >= 1 AND h - hl >= 1),
+  first_b AS (SELECT * FROM gains_b WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY c ORDER BY gain DESC, f, cut) = 1)
+""".format(
+    cases=" ".join(f"WHEN '{c}' THEN {c}" for c in PLAIN_FEATURES), names=", ".join(f"({i}, '{c}')" for i, c in enumerate(PLAIN_FEATURES))
+)
+
+
+@query(
+    FIRST_CUTS
+    + """SELECT c AS cls, ['n_hits', 'n_days', 'n_nights', 'span_days', 'frp_max', 'ti4_max'][f + 1] AS feature, round(cut, 4) AS cut,
+           round(-0.3::double * g / (h + 1), 9) AS root_value, round(-0.3::double * gl / (hl + 1), 9) AS left_value,
+           round(-0.3::double * (g - gl) / (h - hl + 1), 9) AS right_value FROM first_b"""
+)
+def boosted_first_cuts(spark, sf):
+    """The first tree of each class: its cut, and the values of its root and leaves."""
+    model = boosting.boost(_plain_rows(spark, sf), PLAIN_FEATURES, rounds=1, depth=1, rate=0.3)
+    nodes = spark.createDataFrame(list(model.nodes()), "round int, cls string, node int, feature string, cut double, value double")
+
+    def value(node: int) -> Column:
+        return F.round(F.max(F.when(F.col("node") == node, F.col("value"))), 9)
+
+    found = nodes.groupBy("cls").agg(
+        F.max("feature").alias("feature"), F.round(F.max("cut"), 4).alias("cut"), value(1).alias("root_value"), value(2).alias("left_value"), value(3).alias("right_value")
+    )
+    return found.filter("feature is not null")
+
+
+@query(
+    FIRST_CUTS
+    + """SELECT s.source_id, q.c AS cls, round(-0.3::double * CASE WHEN s.x <= q.cut THEN q.gl / (q.hl + 1) ELSE (q.g - q.gl) / (q.h - q.hl + 1) END, 9) AS raw,
+           q.name AS feature FROM (SELECT a.*, b.name FROM first_b a JOIN (SELECT DISTINCT f, name FROM long_b) b USING (f)) q
+         JOIN (SELECT source_id, f.i AS f, CASE f.name {cases} END::double AS x FROM sources, (VALUES {names}) f(i, name)) s ON s.f = q.f""".format(
+        cases=" ".join(f"WHEN '{c}' THEN {c}" for c in PLAIN_FEATURES), names=", ".join(f"({i}, '{c}')" for i, c in enumerate(PLAIN_FEATURES))
+    )
+)
+def boosted_contributions(spark, sf):
+    """Score of every source and class after one round, as base plus what its one cut adds, and the feature that adds it."""
+    model = boosting.boost(_plain_rows(spark, sf), PLAIN_FEATURES, rounds=1, depth=1, rate=0.3)
+    rows = W.sources(spark, sf).select("source_id", *[F.col(c).cast("double").alias(f"x_{c}") for c in PLAIN_FEATURES])
+    each = training.contributions_of(model, rows).groupBy("source_id", "cls").agg(
+        (F.first("base") + F.sum("contribution")).alias("raw"), F.max(F.when(F.col("contribution") != 0, F.col("feature"))).alias("feature")
+    )
+    return each.filter("feature is not null").select("source_id", "cls", r("raw", 9), "feature")
+
+
+@query("SELECT s.id AS source_id, l.label AS cls, 0.0::double AS gap FROM records s, (SELECT DISTINCT label FROM labels_w WHERE label <> 'UNLABELLED') l")
+def boosted_attribution(spark, sf):
+    """Trees over all features: raw score less base and contributions, for every source and class."""
+    table = training.training_rows(training.materialise(_labelled(spark, sf), W.facilities(spark, sf)))
+    model = training.fit_trees(training.numeric_features(table), "boosted", 6, 4, 0.3)
+    found = training.attribution(model, W.feature_rows(spark, sf)).groupBy("source_id", "cls").agg(
+        (F.first("raw") - F.first("base") - F.sum("contribution")).alias("gap")
+    )
+    return found.select("source_id", "cls", (F.round("gap", 6) + 0.0).alias("gap"))
+
+
 @query()
 def forest_scores(spark, sf):
     """Forest trained on the weak labels, scoring every source."""
@@ -882,7 +988,8 @@ def forest_scores(spark, sf):
 
 def _forest(spark, sf, **size) -> DataFrame:
     table = training.materialise(_labelled(spark, sf), W.facilities(spark, sf))
-    return training.train(table, **(size or {"trees": 20, "depth": 5, "folds": 3})).score(W.feature_rows(spark, sf))
+    size = size or {"trees": 20, "depth": 5, "folds": 3}
+    return training.train(table, kind="forest", **size).score(W.feature_rows(spark, sf))
 
 
 @query(
@@ -1019,7 +1126,7 @@ def stream_dedupe(spark, sf):
     """Landed files in five batches, repeats across batches removed whatever their age."""
     out = scratch_path(spark, "stream-dedupe")
     jobs.start_ingest(_landing_stream(spark, sf, LANDED_PARTS), f"{out}/store", f"{out}/progress", once=True).awaitTermination()
-    rows = spark.read.parquet(f"{out}/store/clean")
+    rows = store.read_table(spark, f"{out}/store", "clean")
     return rows.select("latitude", "longitude", F.col("acq_utc").cast("string").alias("acq_utc"), "satellite")
 
 
@@ -1035,6 +1142,77 @@ def stream_store(spark, sf):
     return store.read_table(spark, f"{out}/store", "detections").select("id", "cls", "conf", "severity", "n_hits")
 
 
+# Rows of the landed files within the outline, those landed twice in both places.
+LANDED_ROWS = """, landed_w AS (
+    SELECT 'AV-' || upper(substr(md5(floor(latitude / 0.02::double)::bigint || ':' || floor(longitude / 0.02::double)::bigint), 1, 8)) AS source_id, acq_utc, acq_date, frp
+    FROM (SELECT * FROM mainland UNION ALL SELECT * FROM mainland WHERE event_id % 3 = 0))
+"""
+
+
+def _window_stream(spark, sf, batches: int) -> DataFrame:
+    landed = _landing_stream(spark, sf, batches).drop("_file", "_block")
+    return windows.located_rows(ingest.filter_mainland(ingest.clean_detections(landed)))
+
+
+@query(
+    LANDED_ROWS
+    + "SELECT source_id, date_trunc('hour', acq_utc)::varchar AS start, count(*) AS n, round(sum(frp), 3) AS power FROM landed_w GROUP BY ALL"
+)
+def stream_windows(spark, sf):
+    """Hourly windows of a stream in three batches, together with the rows that came too late for theirs."""
+    out, delay = scratch_path(spark, "stream-windows"), timedelta(days=2)
+    rows = _window_stream(spark, sf, 3)
+    windows.keep_windows(rows, windows.hourly_power, out, "hourly", f"{out}/progress-windows", delay, once=True).awaitTermination()
+    windows.write_late(rows, out, f"{out}/progress-late", delay, once=True).awaitTermination()
+    kept = store.read_table(spark, out, "hourly").select("source_id", "start", "n", "power")
+    late = windows.hourly_power(windows.late_rows(spark, out))
+    both = kept.unionByName(late).groupBy("source_id", "start").agg(F.sum("n").alias("n"), F.sum("power").alias("power"))
+    return both.select("source_id", F.col("start").cast("string").alias("start"), "n", r("power", 3))
+
+
+@query(
+    LANDED_ROWS
+    + """SELECT source_id, start::varchar AS start, n, active_days FROM (
+           SELECT source_id, date_trunc('day', acq_utc) - to_days(b.back::int) AS start, count(*) AS n, count(DISTINCT acq_date) AS active_days
+           FROM landed_w, range(3) b(back) GROUP BY ALL)"""
+)
+def stream_persistence(spark, sf):
+    """Active days per source in sliding windows of three days, over a stream in one batch."""
+    out = scratch_path(spark, "stream-sliding")
+    windows.keep_windows(_window_stream(spark, sf, 1), windows.persistence, out, "persistence", f"{out}/progress", timedelta(days=2), once=True).awaitTermination()
+    return store.read_table(spark, out, "persistence").select("source_id", F.col("start").cast("string").alias("start"), "n", "active_days")
+
+
+@query(
+    LANDED_ROWS
+    + """, breaks_w AS (
+           SELECT *, sum(CASE WHEN before IS NULL OR epoch(acq_utc) - epoch(before) > 129600.5 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY acq_utc) AS run
+           FROM (SELECT *, lag(acq_utc) OVER (PARTITION BY source_id ORDER BY acq_utc) AS before FROM landed_w))
+         SELECT source_id, min(acq_utc)::varchar AS start, count(*) AS n, round(sum(frp), 3) AS power FROM breaks_w GROUP BY source_id, run
+         HAVING epoch(max(acq_utc)) + 129600.5 <= (SELECT epoch(max(acq_utc)) FROM landed_w) - 86400"""
+)
+def stream_sessions(spark, sf):
+    """Stretches of activity that the watermark has passed; half a second more than 36 hours apart, so that none is just so far."""
+    out = scratch_path(spark, "stream-sessions")
+    gap = "129600500 milliseconds"
+    windows.write_sessions(_window_stream(spark, sf, 1), out, f"{out}/progress", timedelta(days=1), gap, once=True).awaitTermination()
+    rows = spark.read.parquet(f"{out}/sessions")
+    return rows.select("source_id", F.col("start").cast("string").alias("start"), "n", r("power", 3))
+
+
+@query(
+    """SELECT 'detection' AS event, count(*) AS n FROM records UNION ALL SELECT 'ingest', 1 UNION ALL SELECT 'pipeline_run_completed', 1
+       UNION ALL SELECT 'pipeline_stage', 4"""
+)
+def stream_events(spark, sf):
+    """Events by kind of the incremental job over all landed files in one batch."""
+    out = scratch_path(spark, "stream-events")
+    jobs.start(
+        _landing_stream(spark, sf, 1), f"{out}/store", f"{out}/progress", W.facilities(spark, sf), once=True, pixels=W.pixels(spark, sf), tile_pixels=W.TILE_PIXELS
+    ).awaitTermination()
+    return events.read_events(spark, f"{out}/store").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """SELECT source_id, n_hits, round(t_fire_K, 2) AS t_fire_k, round(dist_facility_m, 1) AS dist_facility_m, facility_name,
        round(flare_score, 3) AS flare_score FROM feat"""

@@ -1,4 +1,4 @@
-"""Parquet store: versioned tables, upserts, run history, dispatch receipts."""
+"""Parquet store: versioned tables, upserts by block, run history, dispatch receipts."""
 
 from __future__ import annotations
 
@@ -6,37 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyrogrid import constants as K
+from pyrogrid.sources import files
+from pyrogrid.sources.blocks import BlockTable
+from pyrogrid.sources.files import exists, remove
 
 VIEW_TABLES = ["detections", "sources", "facilities", "labelled"]
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+# Hash buckets of a table that is kept by key.
+BUCKETS = 64
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
-    return fs.exists(p)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate data."""
-    p, fs = _path(spark, path)
-    fs.delete(p, True)
+def _in_blocks(spark: SparkSession, root: str, name: str) -> bool:
+    return exists(spark, f"{root}/{name}/manifest")
 
 
 def versions(spark: SparkSession, root: str, name: str) -> list[tuple[int, str]]:
     """Complete versions of a table, oldest first.  A version counts once committed."""
-    p, fs = _path(spark, f"{root}/{name}")
-    if not fs.exists(p):
-        return []
-    found = []
-    for status in fs.listStatus(p):
-        leaf = status.getPath().getName()
-        if leaf.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append((int(leaf[2:]), status.getPath().toString()))
-    return sorted(found)
+    inner = "/manifest" if _in_blocks(spark, root, name) else ""
+    return files.versions(spark, f"{root}/{name}{inner}")
 
 
 def publish(df: DataFrame, root: str, name: str, version: int | None = None, partition_by: list[str] | None = None) -> int:
@@ -57,15 +45,29 @@ def publish(df: DataFrame, root: str, name: str, version: int | None = None, par
 
 def read_table(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
     """Newest complete version (older than ``before`` if given), or None."""
+    if _in_blocks(spark, root, name):
+        found = BlockTable(spark, root, name, _block_column(spark, root, name)).read(before=before)
+        return None if found is None else found.drop("_bucket")
     done = [path for v, path in versions(spark, root, name) if before is None or v < before]
     return spark.read.parquet(done[-1]) if done else None
 
 
+def _block_column(spark: SparkSession, root: str, name: str) -> str:
+    """The column that a table's data folders are named by."""
+    for folder in files.leaves(spark, f"{root}/{name}/data"):
+        for leaf in files.leaves(spark, f"{root}/{name}/data/{folder}"):
+            if "=" in leaf:
+                return leaf.split("=", 1)[0]
+    return "block_id"
+
+
 def drop_old_versions(spark: SparkSession, root: str, name: str, keep: int = 3) -> None:
     """Delete all but the newest versions of one table."""
+    if _in_blocks(spark, root, name):
+        BlockTable(spark, root, name, _block_column(spark, root, name)).drop_old(keep)
+        return
     for _, path in versions(spark, root, name)[:-keep]:
-        p, fs = _path(spark, path)
-        fs.delete(p, True)
+        remove(spark, path)
 
 
 def latest_per_key(df: DataFrame, key: str | list[str], order: list) -> DataFrame:
@@ -84,14 +86,23 @@ def merge_rows(old: DataFrame | None, new: DataFrame, key: str, order: list | No
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def upsert(new: DataFrame, root: str, name: str, key: str, order: list | None = None, version: int | None = None) -> int:
-    """Insert or replace by key into a versioned table.
+def upsert(
+    new: DataFrame, root: str, name: str, key: str, order: list | None = None, version: int | None = None, buckets: int = BUCKETS
+) -> int:
+    """Insert or replace by key into a versioned table, kept in hash buckets of the key.
 
-    With a fixed ``version`` (a batch id) a repeated call starts from the same
-    older version and gives the same table.
+    Only the buckets of the new keys are read and written again.  With a fixed
+    ``version`` (a batch id) a repeated call starts from the same older version and
+    gives the same table.
     """
-    old = read_table(new.sparkSession, root, name, before=version)
-    return publish(merge_rows(old, new, key, order), root, name, version)
+    spark = new.sparkSession
+    if version is None:
+        done = versions(spark, root, name)
+        version = (done[-1][0] if done else 0) + 1
+    table = BlockTable(spark, root, name, "_bucket")
+    keyed = new.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("string"))
+    table.upsert(keyed, version, lambda old, fresh: merge_rows(old, fresh, key, order))
+    return version
 
 
 def upsert_detections(records: DataFrame, root: str, version: int | None = None) -> int:
@@ -122,7 +133,7 @@ LOG_SCHEMA = "ts timestamp, stage string, level string, message string, elapsed_
 
 def record_runs(runs: DataFrame, root: str) -> int:
     """Insert or replace pipeline runs by run id."""
-    return upsert(runs, root, "pipeline_runs", "run_id", [F.desc("ts")])
+    return upsert(runs, root, "pipeline_runs", "run_id", [F.desc("ts")], buckets=1)
 
 
 def newest_runs(runs: DataFrame, limit: int = K.RUN_LIMIT) -> DataFrame:
@@ -172,6 +183,22 @@ def write_dispatches(receipts: DataFrame, root: str) -> None:
     receipts.write.mode("append").parquet(f"{root}/alerts")
 
 
+def write_sorted(df: DataFrame, path: str, order: list[str]) -> None:
+    """Parquet files in global order: ranges of ``order`` are dealt to tasks, and each writes one sorted file."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def file_order(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of sorted files with ``position``: their number, from 1, in the order of files and of rows in each."""
+    place = [F.col("_metadata.file_name").alias("_file"), (F.col("_metadata.row_index") + 1).alias("_inside")]
+    rows = spark.read.parquet(path).select("*", *place)
+    # One row per file, so the running sum over all files is small.
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(offsets), "_file").withColumn("position", F.col("_before") + F.col("_inside")).drop("_file", "_inside", "_before")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header line."""
     df.write.mode("overwrite").option("header", True).csv(path)

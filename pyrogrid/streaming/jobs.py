@@ -15,10 +15,14 @@ from pyrogrid import constants as K
 from pyrogrid.functions import geo
 from pyrogrid.operators import cluster, features, ingest, landcover, records, scoring
 from pyrogrid.sources import store
+from pyrogrid.sources.blocks import BlockTable
 from pyrogrid.sources.detections import ROW_ORDER, canonical_columns
+from pyrogrid.streaming import events
 
 # Versions of a store table that readers may still be using when a batch ends.
 KEEP_VERSIONS = 3
+# Batches after which blocks that lie in many pieces are compacted.
+COMPACT_EVERY = 16
 REWRITTEN = ["sources", "detections", "tir_counts", "pipeline_runs"]
 
 
@@ -33,23 +37,23 @@ def landing_stream(spark: SparkSession, directory: str, columns: list[str], file
     )
 
 
+def clean_table(spark: SparkSession, root: str) -> BlockTable:
+    """Clean rows by 2-degree block.  A batch appends version 2 (batch + 1); the odd version after it compacts."""
+    return BlockTable(spark, root, "clean")
+
+
 def stored_rows(spark: SparkSession, root: str, blocks: list[str], up_to: int) -> DataFrame | None:
-    """Clean rows of the given blocks from batches up to one; only the folders of these blocks are listed."""
-    paths = [f"{root}/clean/block_id={b}" for b in blocks]
-    paths = [p for p in paths if store.exists(spark, p)]
-    if not paths:
-        return None
-    rows = spark.read.option("basePath", f"{root}/clean").parquet(*paths)
-    return rows.filter(F.col("batch") <= up_to).withColumn("block_id", F.col("block_id").cast("string"))
+    """Clean rows of the given blocks from batches up to one; only the folders of these blocks are read."""
+    return clean_table(spark, root).read(blocks, before=2 * (up_to + 1) + 1)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, root: str) -> tuple[int, list[str]]:
     """Append the new clean rows of one batch; returns their number and blocks.
 
-    Rows are kept by 2-degree block and batch.  Repeats of earlier rows are found
-    whatever their age: a repeat has the position and time of the first row, so only
-    the batch's own blocks and days are read again.  A repeated batch replaces its
-    own partitions and nothing else.
+    Rows are kept by 2-degree block.  Repeats of earlier rows are found whatever their
+    age: a repeat has the position and time of the first row, so only the batch's own
+    blocks and days are read again.  A repeated batch replaces its own data and nothing
+    else.
     """
     spark = batch.sparkSession
     raw = canonical_columns(batch.drop("_file", "_block"))
@@ -68,14 +72,15 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str) -> tuple[int, list[
         days = F.col("acq_date").between(min(r["low"] for r in found), max(r["high"] for r in found))
         keys = ["block_id", *ingest.DUPLICATE_KEY]
         staged = staged.join(known.filter(days).select(*keys), keys, "left_anti")
-    staged = staged.withColumn("batch", F.lit(batch_id))
-    writer = staged.repartition("block_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("block_id", "batch").parquet(f"{root}/clean")
+    table, version = clean_table(spark, root), 2 * (batch_id + 1)
+    table.append(staged.withColumn("batch", F.lit(batch_id)), version)
     store.remove(spark, staging)
-    fresh = stored_rows(spark, root, blocks, batch_id)
-    if fresh is None:
-        return 0, []
-    counts = fresh.filter(F.col("batch") == batch_id).groupBy("block_id").count().collect()
+    fresh = table.read_version(version)
+    counts = fresh.groupBy("block_id").count().collect() if fresh is not None else []
+    # Small pieces of a block are put together once there are many.
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        table.compact(version + 1, COMPACT_EVERY // 2)
+        table.drop_old(2 * KEEP_VERSIONS)
     return sum(r["count"] for r in counts), sorted(r["block_id"] for r in counts)
 
 
@@ -100,11 +105,12 @@ def process_batch(
 ) -> None:
     """Fold one batch of raw rows into the store.
 
-    Clean rows are appended by 2-degree block and batch.  Only
-    the cells the batch touches are aggregated again, from the blocks they lie in.
-    The ambient median is kept exact by adding value counts, and sources that rely
-    on it are refreshed when it moves.  Every table version is named by the batch,
-    so a repeated batch after a failure gives the same store.
+    Clean rows are appended by 2-degree block.  Only the cells the batch touches are
+    aggregated again, from the blocks they lie in, and only these blocks of the source
+    and record tables are written again.  The ambient median is kept exact by adding
+    value counts; when it moves, the blocks with sources that rely on it are refreshed
+    too.  Every table version is named by the batch, so a repeated batch after a failure
+    gives the same store.
     """
     spark = batch.sparkSession
     version = batch_id + 1
@@ -120,7 +126,8 @@ def process_batch(
     if not n_raw:
         _record(spark, root, batch_id, 0, 0, times, "EMPTY")
         return
-    fresh = stored_rows(spark, root, blocks, batch_id).filter(F.col("batch") == batch_id).drop("batch")
+    fresh = clean_table(spark, root).read_version(2 * version).drop("batch")
+    sources_table = BlockTable(spark, root, "sources")
 
     def cluster_rows() -> None:
         old_freq = store.read_table(spark, root, "tir_counts", before=version)
@@ -134,35 +141,44 @@ def process_batch(
         touched = cluster.with_cells(fresh, cell_deg).select(*cluster.CELL).distinct()
         history = stored_rows(spark, root, blocks, batch_id).drop("batch")
         rows = cluster.with_cells(history, cell_deg).join(touched, cluster.CELL, "left_semi").drop(*cluster.CELL)
-        sources = cluster.cluster_sources(rows, cell_deg, ambient=ambient).withColumn("changed_in", F.lit(version))
+        sources = cluster.cluster_sources(rows, cell_deg, ambient=ambient, keep_cells=True).withColumn("changed_in", F.lit(version))
+        centre = [(F.col(c) + 0.5) * cell_deg for c in cluster.CELL]
+        sources = sources.withColumn("block_id", geo.block_id(*centre)).drop(*cluster.CELL)
         sources = landcover.annotate_landcover(sources, pixels, tile_pixels)
-        merged = store.merge_rows(store.read_table(spark, root, "sources", before=version), sources, "source_id")
         borrowed = F.col("t_bg_method") == "regional_ambient"
-        now = ambient.select("ambient_K").scalar()
-        moved = borrowed & ~F.col("t_bg_K").eqNullSafe(now)
+        now = ambient.first()["ambient_K"]
+        moved = borrowed & ~F.col("t_bg_K").eqNullSafe(F.lit(now).cast("double"))
+        old = sources_table.read(before=version)
+        outdated = [] if old is None else [r[0] for r in old.filter(moved).select("block_id").distinct().collect()]
+        touched = sorted({*outdated, *(r[0] for r in sources.select("block_id").distinct().collect())})
+        merged = store.merge_rows(sources_table.read(touched, before=version), sources, "source_id")
         merged = merged.withColumns(
             {
                 "changed_in": F.when(moved, F.lit(version)).otherwise(F.col("changed_in")),
-                "t_bg_K": F.when(borrowed, now).otherwise(F.col("t_bg_K")),
+                "t_bg_K": F.when(borrowed, F.lit(now).cast("double")).otherwise(F.col("t_bg_K")),
             }
         )
-        store.publish(merged, root, "sources", version)
+        sources_table.replace(merged, version, touched)
 
     timed("SOURCE CLUSTER", cluster_rows)
-    changed = store.read_table(spark, root, "sources").filter(F.col("changed_in") == version).drop("changed_in")
+    changed = sources_table.read_version(version).filter(F.col("changed_in") == version).drop("changed_in")
+    placed = changed.select(F.col("source_id").alias("id"), "block_id")
+    changed = changed.drop("block_id")
     found = timed("PLANCK RETRIEVAL", lambda: features.build_features(changed, facilities))
     scored = timed("CLASSIFY", lambda: score(found))
     out = records.build_records(scored, {k: int(v) for k, v in times.items()})
 
     def write_records() -> int:
-        store.publish(out, root, "changes", version)
+        store.publish(out.drop("block_id").join(placed, "id"), root, "changes", version)
         # The change table is what subscribers of new detections read.
         changes = spark.read.parquet(f"{root}/changes/v={version:012d}")
-        store.upsert(changes, root, "detections", "id", version=version)
+        detections = BlockTable(spark, root, "detections")
+        detections.upsert(changes, version, lambda old, new: store.merge_rows(old, new, "id"))
         return changes.count()
 
     n_sources = timed("CLASSIFY", write_records)
     _record(spark, root, batch_id, n_raw, n_sources, times, "SUCCESS")
+    events.write_batch(spark.read.parquet(f"{root}/changes/v={version:012d}"), root, batch_id, n_raw, times)
     for name in REWRITTEN:
         store.drop_old_versions(spark, root, name, KEEP_VERSIONS)
 
@@ -173,7 +189,7 @@ def _record(spark, root, batch_id, n_raw, n_sources, times, status) -> None:
     stages = {k: max(1, int(round(v))) for k, v in times.items()}
     run = [(f"RUN-{batch_id:08d}", now, f"batch {batch_id}", n_raw, n_sources, stages, status, sum(stages.values()))]
     store.upsert(
-        spark.createDataFrame(run, store.RUN_SCHEMA), root, "pipeline_runs", "run_id", version=batch_id + 1
+        spark.createDataFrame(run, store.RUN_SCHEMA), root, "pipeline_runs", "run_id", version=batch_id + 1, buckets=1
     )
     log = [(now, stage, "INFO", f"batch {batch_id}: {stage.lower()} done", ms) for stage, ms in stages.items()]
     spark.createDataFrame(log, store.LOG_SCHEMA).write.mode("overwrite").parquet(f"{root}/pipeline_log/batch={batch_id}")
