@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyrogrid.llm.chunking import masked_cuts
-from pyrogrid.llm.common import free_name, list_array, rows_of, texts_of
+from pyrogrid.llm.common import ascii_lower, free_name, list_array, rows_of, texts_of
 from pyrogrid.session import stored
 
 AVERAGE, LEAST, MOST = 4096, 1024, 32768
@@ -132,17 +132,15 @@ def groups(docs: DataFrame, digest_bits: int = DIGEST_BITS, id_col: str = "doc_i
     return _best(own, own_texts, found, digest_bits).drop("row")
 
 
-def keep_one(docs: DataFrame, digest_bits: int = DIGEST_BITS) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any other columns) that stay, with all their columns.
 
-    Rows are stored with numbers of their own; recipes carry these numbers, and only the
-    numbers that stay meet the texts again.  Of rows that repeat an id and a text one stays.
+    Rows that repeat both id and text are one document and stay once.
     """
-    row = free_name("row", docs.columns)
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    texts = texts_of(numbered, row)
-    found = clashes(texts, digest_bits)
-    own = recipes(texts, digest_bits).withColumnRenamed("doc_id", "row")
-    own = stored(own.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("doc_id")), "row"), "recipes")
-    kept = _best(own, texts, found, digest_bits).filter("kept").select(F.col("row").alias(row))
-    return numbered.join(kept, row, "left_semi").select(docs.columns)
+    key, sha, n = (free_name(c, docs.columns) for c in ("key", "sha", "n"))
+    known = F.coalesce("doc_id", F.lit(-(2**63)))
+    kept = groups(docs).filter("kept").select(known.alias(key), F.col("text_sha256").alias(sha))
+    own_sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    found = docs.withColumns({key: known, sha: own_sha}).join(kept, [key, sha], "left_semi")
+    numbered = found.withColumn(n, F.row_number().over(Window.partitionBy(key, sha).orderBy(F.lit(0))))
+    return numbered.filter(F.col(n) == 1).select(docs.columns)
