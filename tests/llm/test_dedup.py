@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pyrogrid.llm import exact_dedup, simhash, substring_dedup
+from pyrogrid.llm import exact_dedup, graph, simhash, substring_dedup
 from pyrogrid.llm.chunking import gear_hash, masked_cuts, peak_cuts
 from pyrogrid.llm.common import prepared
 
@@ -264,3 +264,9 @@ def test_a_large_group_is_connected_through_pivots_and_blocks(spark, monkeypatch
         rows.append((i, " ".join(text)))
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(naive_similar(rows))
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 102), (102, 100)]
+    got = dict(map(tuple, graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert {got.get(i, i) for i in range(61)} == {0} and {got.get(i, i) for i in range(100, 104)} == {100}
