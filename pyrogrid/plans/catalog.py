@@ -81,7 +81,7 @@ def dedupe_detections(spark, sf):
 
 @query(
     """SELECT source_id, n_hits, n_days, n_nights, round(night_frac, 4) AS night_frac, first_seen::varchar AS first_seen,
-       last_seen::varchar AS last_seen, span_days, round(frp_mean + 1e-7, 4) AS frp_mean, frp_max, round(frp_median, 4) AS frp_median,
+       last_seen::varchar AS last_seen, span_days, round(frp_mean, 9) AS frp_mean, frp_max, round(frp_median, 4) AS frp_median,
        round(frp_cv, 4) AS frp_cv, round(ti4_median, 4) AS ti4_median, ti4_max, round(ti4_std, 4) AS ti4_std,
        round(ti5_median, 4) AS ti5_median, round(dT_median, 4) AS d_t_median, round(local_solar_hour, 4) AS local_solar_hour,
        round(pixel_area_m2, 1) AS pixel_area_m2, round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon,
@@ -90,7 +90,7 @@ def dedupe_detections(spark, sf):
 def cluster_sources(spark, sf):
     return cluster.cluster_sources(W.detections(spark, sf)).select(
         "source_id", "n_hits", "n_days", "n_nights", r("night_frac", 4), F.col("first_seen").cast("string").alias("first_seen"),
-        F.col("last_seen").cast("string").alias("last_seen"), "span_days", F.round(F.col("frp_mean") + 1e-7, 4).alias("frp_mean"), "frp_max", r("frp_median", 4),
+        F.col("last_seen").cast("string").alias("last_seen"), "span_days", r("frp_mean", 9), "frp_max", r("frp_median", 4),
         r("frp_cv", 4), r("ti4_median", 4), "ti4_max", r("ti4_std", 4), r("ti5_median", 4), r("dT_median", 4, "d_t_median"),
         r("local_solar_hour", 4), r("pixel_area_m2", 1), r("centroid_lat", 6), r("centroid_lon", 6), "fill_ratio",
         r("flare_score", 4),
@@ -901,6 +901,32 @@ def labelled_set(spark, sf):
     return table.select("source_id", "label", labels.is_control(table).alias("is_control"))
 
 
+@query(
+    """, whole_l AS (SELECT source_id, label, FALSE AS control FROM labels_w
+         UNION ALL SELECT source_id || k, 'UNLABELLED', TRUE FROM labels_w, range(5) t(k) WHERE label = 'FLARE')
+       SELECT coalesce(label, 'TOTAL') AS label, count(*) AS n_rows, count(*) FILTER (control) AS n_controls,
+         round(count(*) FILTER (WHERE label = 'UNLABELLED') * 100.0 / count(*), 1)::double AS pct_unlabelled FROM whole_l GROUP BY ROLLUP (label)"""
+)
+def labelled_set_report(spark, sf):
+    """Rows, controls and share without label of the labelled table with its negative controls."""
+    labelled, fac = _labelled(spark, sf), W.facilities(spark, sf)
+    controls = labels.sample_negative_controls(labelled, fac, index=W.site_index(spark, sf))
+    return labels.label_report(labelled.unionByName(controls, allowMissingColumns=True))
+
+
+@query(
+    """SELECT count(*) AS n_samples, count(DISTINCT block_id) AS n_blocks, count(*) FILTER (origin = 'real') AS n_real, count(*) FILTER (origin = 'synthetic') AS n_synthetic
+       FROM (SELECT l.block_id, 'real' AS origin FROM labels_w l JOIN sources s USING (source_id) WHERE s.n_hits % 3 <> 0
+             UNION ALL SELECT l.block_id, 'synthetic' FROM labels_w l JOIN sources s USING (source_id) WHERE s.n_hits > 5)"""
+)
+def synthetic_replaced(spark, sf):
+    """A labelled table whose synthetic rows are replaced by new ones, and what it then holds."""
+    rows = _labelled(spark, sf).withColumn("block_id", geo.block_id(F.col("centroid_lat"), F.col("centroid_lon")))
+    table = rows.withColumn("origin", F.when(F.col("n_hits") % 3 == 0, "synthetic").otherwise("real"))
+    fresh = rows.filter("n_hits > 5").withColumns({"origin": F.lit("synthetic"), "source_id": F.concat(F.lit("SYN-"), "source_id")})
+    return training.block_summary(training.replace_synthetic(table, fresh))
+
+
 # Features of the small boosting queries: whole numbers and hundredths, so that sums agree in any engine.
 PLAIN_FEATURES = ["n_hits", "n_days", "n_nights", "span_days", "frp_max", "ti4_max"]
 

@@ -15,6 +15,7 @@ SOME = [
     "clean_detections", "mainland_filter", "dedupe_detections", "cluster_sources", "diurnal_hist", "retrieve_temperature", "nearest_facility",
     "landcover_majority", "classify_rules", "detection_records", "class_probabilities", "narrative", "narrative_guard", "funnel", "stats_by_class",
     "facility_profiles", "persistent_cells", "upsert_latest", "nearest_facility_dense", "profile_persistent", "landed_scan", "data_checks",
+    "boosted_first_cuts", "boosted_contributions", "labelled_set", "labelled_set_report", "synthetic_replaced", "sorted_export", "stream_windows", "cluster_sources",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="shared test tables not present")
 
