@@ -178,7 +178,7 @@ def test_windows_and_late_rows_hold_every_row(spark, tmp_path):
     found = {(r["start"], r["n"]) for r in spark.read.parquet(f"{root}/sessions").collect()}
     assert (base + timedelta(minutes=7), 3) in found and (base + timedelta(hours=30, minutes=7), 2) in found
     sliding = {r["start"]: (r["n"], r["active_days"]) for r in windows.persistence(spark.read.parquet(files)).collect()}
-    assert sliding[base] == (9, 3) and sliding[base - timedelta(days=2)] == (4, 1)
+    assert sliding[base] == (10, 3) and sliding[base - timedelta(days=2)] == (4, 1)
 
 
 def test_sorted_export_reads_back_in_order(spark, tmp_path):
