@@ -251,9 +251,7 @@ def test_stages_pass_columns_named_like_helpers(spark):
         assert {tuple(r) for r in found} <= given and sorted((r.doc_id for r in found), key=str) == sorted(ids, key=str)
 
 
-def test_a_large_group_is_connected_through_pivots_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SETS_PER_BLOCK", 7)
-    monkeypatch.setattr(simhash, "PAIRS_PER_KEY", 5)
+def test_a_large_group_of_near_copies_is_one(spark):
     draw = random.Random(5)
     base = words(77, 60).split()
     rows = []
