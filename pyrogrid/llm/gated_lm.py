@@ -13,9 +13,9 @@ What is learned, all from the training rows (``open_rows``) and all of them:
 
 Training goes through all training rows once, in ROUNDS rounds over disjoint halves.
 In a round every task starts from the same weights, reads its texts, LANES side by side,
-in windows of WINDOW tokens with the state carried from window to window until a text
-ends, runs truncated backpropagation over one window of LEARN_EVERY, and hands back its
-weights; they are averaged by tokens learned, block by block in Spark, so only one
+in windows of WINDOW tokens (more where few lanes are left) with the state carried from
+window to window until a text ends, runs truncated backpropagation over every window, and
+hands back its weights; they are averaged by tokens learned, block by block in Spark, so only one
 bounded set reaches the driver.  What is learned from grows in proportion to the rows.
 
 Scoring reads each text once.  Tokens among the COUNTED most frequent are looked up in
@@ -33,6 +33,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,6 @@ MODELLED, CLASSES = 2048, 32
 COUNTED = 1 << 18
 STATE = 16
 ROUNDS, WINDOW, LANES, RATE = 2, 16, 256, 0.12
-# One window of so many is learned from, in every lane; the state passes through the others.
-LEARN_EVERY = 3
 SCORE_LANES = 512
 # Tokens that a task holds at once (longer texts are held alone).
 POOL = 2_000_000
@@ -138,19 +137,32 @@ def learn_vocabulary(counts: DataFrame, counted: int = COUNTED, modelled: int =
 # --- the network ---------------------------------------------------------------------
 
 
+# Row sums below this are taken again with the row's own largest logit.
+LEAST_SUM = 1e-20
+
+
+def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their row sums, what was subtracted): of all logits the largest, or each row's where rows lie far apart."""
+    ones, most = np.ones(logits.shape[1], dtype=logits.dtype), logits.max(initial=-np.inf)
+    out = np.exp(logits - most)
+    sums = out @ ones
+    if sums.min(initial=np.inf) < LEAST_SUM:
+        most = logits.max(axis=1)
+        np.exp(logits - most[:, None], out=out)
+        sums = out @ ones
+    return out, sums, most
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    out, sums, _ = _exponents(logits)
+    out /= sums[:, None]
+    return out
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Per row the log-probability of place ``at``; changes ``logits``."""
-    logits -= logits.max(axis=1, keepdims=True)
-    found = logits[np.arange(len(at)), at]
-    np.exp(logits, out=logits)
-    return found - np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
+    """Per row the log-probability of place ``at``."""
+    _, sums, most = _exponents(logits)
+    return logits[np.arange(len(at)), at] - most - np.log(sums)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -196,26 +208,32 @@ class Network:
         ]
         return cls(modelled, [w.astype(np.float32) for w in weights])
 
-    def advance(self, inputs: np.ndarray, keep: np.ndarray, active: np.ndarray, state: np.ndarray, trace: list | None) -> np.ndarray:
+    def advance(self, inputs: np.ndarray, keep: np.ndarray, active: np.ndarray, state: np.ndarray, trace: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """States (window, lanes, state) after each input; ``state`` is carried on in place.
 
         ``keep`` is 0 where a text starts; only the first active[t] lanes run at step t.
+        A ``trace`` receives what backpropagation needs, each as (window, lanes, ...).
         """
         size = self.state
         out = np.zeros((len(inputs), state.shape[0], size), dtype=np.float32)
         entered = self.enter[inputs]
-        for t in range(len(inputs)):
-            n = int(active[t])
-            h = state[:n]
-            h *= keep[t, :n, None]
+        if trace is not None:
+            trace |= {"before": np.zeros_like(out), "gates": np.zeros_like(entered[..., : 2 * size]), "new": np.zeros_like(out), "carried": np.zeros_like(out)}
+        keep = keep[:, :, None]
+        for t, n in enumerate(active.tolist()):
+            h, own = state[:n], entered[t, :n]
+            h *= keep[t, :n]
             carried = h @ self.carry
-            gates = _sigmoid(entered[t, :n, : 2 * size] + carried[:, : 2 * size])
-            update, reset = gates[:, :size], gates[:, size:]
-            new = np.tanh(entered[t, :n, 2 * size :] + reset * carried[:, 2 * size :])
+            gates = _sigmoid(carried[:, : 2 * size] + own[:, : 2 * size])
+            new = gates[:, size:] * carried[:, 2 * size :]
+            new += own[:, 2 * size :]
+            np.tanh(new, out=new)
             if trace is not None:
-                trace.append((h.copy(), gates, new, carried[:, 2 * size :]))
-            state[:n] = new + update * (h - new)
-            out[t, :n] = state[:n]
+                trace["before"][t, :n], trace["gates"][t, :n], trace["new"][t, :n], trace["carried"][t, :n] = h, gates, new, carried[:, 2 * size :]
+            h -= new
+            h *= gates[:, :size]
+            h += new
+            out[t, :n] = h
         return out
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -223,20 +241,29 @@ class Network:
         known = targets < self.modelled
         of = np.where(known, targets // self.per_class, CLASSES)
         out = _log_softmax_at(states @ self.classes + self.class_bias, of)
-        for rows, of_class in self._by_class(of):
-            own = slice(of_class * self.per_class, (of_class + 1) * self.per_class)
-            out[rows] += _log_softmax_at(states[rows] @ self.words[own].T + self.word_bias[own], targets[rows] - own.start)
+        rows, runs = self._by_class(of)
+        if runs:
+            logits = self._word_logits(states[rows], runs)
+            out[rows] += _log_softmax_at(logits, targets[rows] - of[rows] * self.per_class)
         return out
 
     @staticmethod
-    def _by_class(of: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """(rows, class) of every class of modelled words that occurs."""
-        order = np.argsort(of, kind="stable")
-        found = of[order]
-        cuts = np.flatnonzero(np.diff(found, prepend=-1))
-        for rows, first in zip(np.split(order, cuts[1:]), found[cuts].tolist(), strict=True):
-            if first < CLASSES:
-                yield rows, first
+    def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Rows of modelled words in the order of their classes, and each class's (begin, end, class) there."""
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        ends = np.cumsum(np.bincount(of, minlength=CLASSES + 1)[:CLASSES]).tolist()
+        runs = [(a, b, k) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+        return order[: ends[-1]], runs
+
+    def _word_logits(self, states: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of the words of its class for each row; rows lie in the order of ``runs``."""
+        size = self.per_class
+        out = np.empty((len(states), size), dtype=states.dtype)
+        for a, b, k in runs:
+            own = slice(k * size, (k + 1) * size)
+            np.matmul(states[a:b], self.words[own].T, out=out[a:b])
+            out[a:b] += self.word_bias[own]
+        return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, active: np.ndarray, state: np.ndarray) -> tuple[float, list]:
         """Minus the log-likelihood of a window, and its slopes: arrays, or (rows, slopes) for tables by row.
@@ -244,7 +271,7 @@ class Network:
         Backpropagation ends at the window's start; ``state`` is carried on in place.
         """
         size, lanes = self.state, state.shape[0]
-        trace: list = []
+        trace: dict[str, np.ndarray] = {}
         states = self.advance(inputs, keep, active, state, trace)
         used = np.arange(lanes)[None, :] < active[:, None]
         flat, wanted = states[used], targets[used]
@@ -256,41 +283,49 @@ class Network:
         chance[rows, of] -= 1.0
         slopes = [None, None, flat.T @ chance, chance.sum(axis=0), None, None]
         back = chance @ self.classes.T
-        word_rows, word_slopes, bias_slopes = [], [], []
-        for own, of_class in self._by_class(of):
-            first = of_class * self.per_class
-            table = self.words[first : first + self.per_class]
-            inside = _softmax(flat[own] @ table.T + self.word_bias[first : first + self.per_class])
-            at = (np.arange(len(own)), wanted[own] - first)
+        own, runs = self._by_class(of)
+        if runs:
+            heard, size_in = flat[own], self.per_class
+            inside = _softmax(self._word_logits(heard, runs))
+            at = (np.arange(len(own)), wanted[own] - of[own] * size_in)
             loss -= float(np.log(inside[at]).sum())
             inside[at] -= 1.0
-            word_rows.append(np.arange(first, first + self.per_class))
-            word_slopes.append(inside.T @ flat[own])
-            bias_slopes.append(inside.sum(axis=0))
-            back[own] += inside @ table
-        if word_rows:
-            slopes[4] = (np.concatenate(word_rows), np.concatenate(word_slopes))
-            slopes[5] = (np.concatenate(word_rows), np.concatenate(bias_slopes))
-        arriving = np.zeros_like(states)
-        arriving[used] = back
-        following = np.zeros((lanes, size), dtype=np.float32)
-        before_gates = np.zeros((len(inputs), lanes, 3 * size), dtype=np.float32)
-        through, previous = np.zeros_like(before_gates), np.zeros_like(states)
+            word_slopes = np.empty((len(runs) * size_in, size), dtype=inside.dtype)
+            bias_slopes = np.empty(len(word_slopes), dtype=inside.dtype)
+            word_rows = np.concatenate([np.arange(k * size_in, (k + 1) * size_in) for _, _, k in runs])
+            returned, ones = np.empty_like(heard), np.ones(len(own), dtype=inside.dtype)
+            for place, (a, b, k) in enumerate(runs):
+                to = slice(place * size_in, (place + 1) * size_in)
+                np.matmul(inside[a:b].T, heard[a:b], out=word_slopes[to])
+                np.matmul(ones[a:b], inside[a:b], out=bias_slopes[to])
+                np.matmul(inside[a:b], self.words[k * size_in : (k + 1) * size_in], out=returned[a:b])
+            back[own] += returned
+            slopes[4], slopes[5] = (word_rows, word_slopes), (word_rows, bias_slopes)
+        reaching = np.zeros_like(states)
+        reaching[used] = back
+        update, reset, new = trace["gates"][..., :size], trace["gates"][..., size:], trace["new"]
+        # What a state's slope is multiplied by for the slopes of the gates and of what is carried.
+        left = 1.0 - update
+        inner = left * (1.0 - new * new)
+        factors = np.empty((len(inputs), lanes, 3, size), dtype=inner.dtype)
+        np.multiply((trace["before"] - new) * update, left, out=factors[:, :, 0])
+        np.multiply(inner, reset, out=factors[:, :, 2])
+        np.multiply(factors[:, :, 2] * (1.0 - reset), trace["carried"], out=factors[:, :, 1])
+        through = np.zeros_like(factors)
+        flat_through, back_carry = through.reshape(len(inputs), lanes, 3 * size), np.ascontiguousarray(self.carry.T)
+        passed = update * keep[:, :, None]
         for t in range(len(inputs) - 1, -1, -1):
             n = int(active[t])
-            h, gates, new, carried = trace[t]
-            update, reset = gates[:, :size], gates[:, size:]
-            slope = arriving[t, :n] + following[:n]
-            inner = slope * (1.0 - update) * (1.0 - new * new)
-            own = before_gates[t, :n]
-            own[:, :size] = slope * (h - new) * update * (1.0 - update)
-            own[:, size : 2 * size] = inner * carried * reset * (1.0 - reset)
-            own[:, 2 * size :] = inner
-            through[t, :n] = own
-            through[t, :n, 2 * size :] *= reset
-            previous[t, :n] = h
-            following[:n] = (slope * update + through[t, :n] @ self.carry.T) * keep[t, :n, None]
-        slopes[1] = previous.reshape(-1, size).T @ through.reshape(-1, 3 * size)
+            slope = reaching[t, :n]
+            np.multiply(slope[:, None, :], factors[t, :n], out=through[t, :n])
+            if t:
+                following = flat_through[t, :n] @ back_carry
+                following *= keep[t, :n, None]
+                following += slope * passed[t, :n]
+                reaching[t - 1, :n] += following
+        slopes[1] = trace["before"].reshape(-1, size).T @ flat_through.reshape(-1, 3 * size)
+        before_gates = flat_through
+        before_gates[..., 2 * size :] = reaching * inner
         numbers = inputs[used]
         order = np.argsort(numbers, kind="stable")
         starts = np.flatnonzero(np.diff(numbers[order], prepend=-1))
@@ -316,7 +351,7 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
 
 
 def windows(texts: list[np.ndarray], start: int, lanes: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(inputs, targets, keep, active, text number) for each window of ``width`` steps of all lanes.
+    """(inputs, targets, keep, active, text number) for each window of ``width`` steps of all lanes, or more steps of the last ones.
 
     Inputs are a text's tokens behind the number ``start``, targets the tokens.
     """
@@ -335,9 +370,12 @@ def windows(texts: list[np.ndarray], start: int, lanes: int, width: int) -> Iter
     going_on = np.ones(len(tokens), dtype=np.float32)
     going_on[begins] = 0.0
     offsets = np.cumsum(loads) - loads
-    for at in range(0, int(loads[0]), width):
-        steps = np.arange(at, min(at + width, int(loads[0])))
+    at = 0
+    while at < loads[0]:
         running = int((loads > at).sum())
+        # Where few lanes are left, a window takes more steps, so that it holds about as many tokens.
+        steps = np.arange(at, min(at + width * max(1, len(loads) // (4 * running)), int(loads[0])))
+        at = int(steps[-1]) + 1
         active = (loads[None, :running] > steps[:, None]).sum(axis=1)
         # Lanes that have ended repeat their last place, which nobody reads.
         place = offsets[:running] + np.minimum(steps[:, None], loads[:running] - 1)
@@ -354,26 +392,24 @@ def learn(network: Network, texts: list[np.ndarray], lanes: int = LANES, squares
     learned, state = 0, None
     # A window that few lanes are left in makes a small step.
     full = np.float32(lanes * WINDOW)
-    for number, (inputs, targets, keep, active, _) in enumerate(windows(texts, network.modelled + 1, lanes, WINDOW)):
+    for inputs, targets, keep, active, _ in windows(texts, network.modelled + 1, lanes, WINDOW):
         running = inputs.shape[1]
         state = np.zeros((running, network.state), dtype=np.float32) if state is None else state[:running]
-        if number % LEARN_EVERY:
-            network.advance(inputs, keep, active, state, None)
-            continue
         _, slopes = network.gradients(inputs, targets, keep, active, state)
         learned += int(active.sum())
         for weight, square, slope in zip(network.weights, squares, slopes, strict=True):
             if slope is None:
                 continue
-            if isinstance(slope, tuple):
-                rows, slope = slope
-                slope = slope / full
-                square[rows] += slope * slope
-                weight[rows] -= RATE * slope / (np.sqrt(square[rows]) + 1e-8)
-            else:
-                slope = slope / full
-                square += slope * slope
-                weight -= RATE * slope / (np.sqrt(square) + 1e-8)
+            rows, slope = slope if isinstance(slope, tuple) else (slice(None), slope)
+            slope = slope / full
+            scale = slope * slope
+            scale += square[rows]
+            square[rows] = scale
+            np.sqrt(scale, out=scale)
+            scale += 1e-8
+            slope *= RATE
+            slope /= scale
+            weight[rows] -= slope
     return learned
 
 
@@ -410,7 +446,7 @@ def pools(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
 
 def _numbers(number: dict[bytes, int], unknown: int, texts: list[list[bytes]]) -> list[np.ndarray]:
     get = number.get
-    return [np.fromiter((get(t, unknown) for t in own), dtype=np.int64, count=len(own)) for own in texts]
+    return [np.fromiter(map(get, own, repeat(unknown)), dtype=np.int64, count=len(own)) for own in texts]
 
 
 def learn_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:

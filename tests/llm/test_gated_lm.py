@@ -135,6 +135,22 @@ def test_training_lowers_the_loss():
     assert g.log_likelihoods(network, texts[:1])[0] > 0.5 * before
 
 
+def test_every_token_is_learned_from_once():
+    _, network = small(modelled=9, state=4)
+    draw = np.random.RandomState(8)
+    texts = [draw.randint(0, 10, n) for n in [*draw.randint(1, 60, 90), 700]]
+    for lanes in (1, 8, 256):
+        assert g.learn(network, texts, lanes=lanes) == sum(len(t) for t in texts)
+
+
+def test_rows_of_logits_far_apart_keep_their_chances():
+    logits = np.array([[0, 1, -300], [-400, -399, -401], [90, 80, 0]], dtype=np.float32)
+    exact = np.exp(logits.astype(float) - logits.max(axis=1, keepdims=True))
+    exact /= exact.sum(axis=1, keepdims=True)
+    assert np.allclose(g._softmax(logits.copy()), exact, atol=1e-6)
+    assert np.allclose(g._log_softmax_at(logits.copy(), np.array([0, 2, 1])), np.log(exact[[0, 1, 2], [0, 2, 1]]), rtol=1e-5)
+
+
 def test_few_counted_words_give_the_same_counts(spark, monkeypatch):
     """Words beyond the broadcast table meet their counts in the join."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150")
