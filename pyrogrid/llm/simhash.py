@@ -14,14 +14,18 @@ and only links leave the join.
 A null or empty text, and one without words, has fingerprint zero and links like any
 other.  Rows without id take part but never name a component (unless all lack one).
 
-Near copies by Jaccard similarity of longer shingles differ in more bits than any
-multi-index affords (about ten of 64 at 0.8), so they are met by bands of minima of the
-shingle sets and verified on the sets themselves.
+Near copies by Jaccard similarity are searched by fingerprints of their sets of longer
+shingles first: of a 64-bit fingerprint's six blocks two at distance 3 or less share
+three, so each choice of three blocks is a key of a multi-index, and matches up to a
+wider distance are verified on the sets themselves.  Sets at 0.8 differ by about ten
+bits, more than a multi-index affords; so sets are met by bands of minima as well, and
+verified in the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,10 @@ SEED = 42
 DISTANCE = 2
 # Two sets at Jaccard similarity 0.8 share no band key with probability (1 - 0.8 ** 3) ** 24 = 3e-8.
 BANDS, BAND_ROWS = 24, 3
+# First bits of the blocks of a fingerprint; keys are choices of SHARED_BLOCKS of them.
+BLOCKS, SHARED_BLOCKS = [0, 11, 22, 33, 43, 53, 64], 3
+# Sets whose fingerprints share a key are compared up to this distance.
+NEAR_DISTANCE = 12
 # Keys that the rows of one fingerprint are dealt to.
 SALTS = 64
 _random = np.random.RandomState(SEED)
@@ -61,8 +69,12 @@ def shingle_hashes(text: bytes, shingle: int) -> list[int]:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Signed 64-bit fingerprint of one text."""
-    hashes = shingle_hashes(text, shingle)
-    if not hashes:
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """Signed number whose bits are 1 where over half of the hashes have a 1."""
+    if not len(hashes):
         return 0
     bits = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65536):
@@ -163,7 +175,7 @@ def _band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """(doc_id, digest, size, keys, hashes) of (doc_id, text): the set of shingles, listed only if ``whole``."""
+    """(doc_id, digest, size, fp, keys, hashes) of (doc_id, text): the set of shingles, listed only if ``whole``, else its fingerprint."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, dtype=np.int64)
@@ -171,11 +183,12 @@ def shingle_sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
             own = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)) for t in texts]
             columns = [
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int32()),
+                pa.array([None if whole else majority(s) for s in own], pa.int64()),
                 list_array([_band_keys(s) for s in own], pa.int64()), list_array([s.view(np.int64) if whole else none for s in own], pa.int64()),
             ]
-            yield pa.record_batch(columns, names=["doc_id", "digest", "size", "keys", "hashes"])
+            yield pa.record_batch(columns, names=["doc_id", "digest", "size", "fp", "keys", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, digest binary, size int, keys array<long>, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, digest binary, size int, fp long, keys array<long>, hashes array<long>")
 
 
 def _alike(a: str, b: str, similarity: float) -> Column:
@@ -184,26 +197,55 @@ def _alike(a: str, b: str, similarity: float) -> Column:
     return both / (F.size(a) + F.size(b) - both) >= similarity
 
 
+def _block_keys(fp: Column) -> list[Column]:
+    """A key for each choice of SHARED_BLOCKS blocks: its number and their bits."""
+    blocks = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(BLOCKS, BLOCKS[1:], strict=False)]
+    keys = []
+    for number, chosen in enumerate(combinations(blocks, SHARED_BLOCKS)):
+        key = F.lit(number).cast("long")
+        for block in chosen:
+            key = F.shiftleft(key, 11).bitwiseOR(block)
+        keys.append(key)
+    return keys
+
+
+def near_fingerprints(sets: DataFrame) -> DataFrame:
+    """(src, dst) of (set, fp): each set with the smallest one of a block key, at NEAR_DISTANCE or less."""
+    each = sets.select("set", "fp", F.explode(F.array(*_block_keys(F.col("fp")))).alias("key"))
+    keys = each.groupBy("key").agg(F.min("set").alias("src"), F.max("set").alias("most")).filter("src < most").select("key", "src")
+    met = each.join(keys, "key").filter(F.col("set") != F.col("src")).select("src", F.col("set").alias("dst"), "fp").distinct()
+    met = met.join(sets.select(F.col("set").alias("src"), F.col("fp").alias("src_fp")), "src")
+    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("src_fp"))) <= NEAR_DISTANCE).select("src", "dst")
+
+
 def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(doc_id, root) of (doc_id, text) with unique ids: connected by Jaccard ``similarity`` of the word shingles.
 
-    Texts of equal sets are one.  Sets that share a band key are candidates, and every
-    link is verified on the whole sets.  A key's sets are first compared with its
-    smallest one; then only those that are not yet connected are compared with each other.
+    Texts of equal sets are one.  Sets with near fingerprints and sets that share a band
+    key are candidates, and every link is verified on the whole sets.  A key's sets are
+    first compared with its smallest one; then only those of a band key that are not yet
+    connected are compared with each other.
     """
     own = stored(shingle_sets(docs, shingle, False).drop("hashes"), "bands")
     distinct = own.groupBy("digest").agg(F.min("doc_id").alias("set"))
-    once = own.join(distinct.select(F.col("set").alias("doc_id")), "doc_id", "left_semi")
-    each = stored(once.select(F.col("doc_id").alias("set"), "size", F.explode("keys").alias("key")), "keys")
+    # Few sets are equal, so only the ids of those that go are moved.
+    equal = own.groupBy("digest").agg(F.min("doc_id").alias("set"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    equal = stored(own.select("doc_id", "digest").join(equal, "digest").filter("doc_id <> set").select("doc_id"), "equal")
+    once = own.join(equal, "doc_id", "left_anti").select(F.col("doc_id").alias("set"), "size", "fp", "keys")
+    near = stored(near_fingerprints(once.select("set", "fp")), "near")
+    each = once.select("set", "size", F.explode("keys").alias("key"))
     keys = each.groupBy("key").agg(F.min("set").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = stored(each.join(keys, "key"), "hits")
-    some = docs.join(hits.select(F.col("set").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = hits.select("set").unionByName(near.select(F.explode(F.array("src", "dst")).alias("set"))).distinct()
+    some = docs.join(wanted.select(F.col("set").alias("doc_id")), "doc_id", "left_semi")
     sets = stored(shingle_sets(some, shingle, True).select(F.col("doc_id").alias("set"), "keys", "hashes"), "sets")
 
-    stars = hits.filter("set <> least").select("set", F.col("least").alias("src")).distinct()
-    stars = stars.join(sets.select("set", F.col("hashes").alias("a")), "set").withColumnRenamed("set", "dst")
-    stars = stars.join(sets.select(F.col("set").alias("src"), F.col("hashes").alias("b")), "src")
-    first = stored(stars.filter(_alike("a", "b", similarity)).select("src", "dst"), "links")
+    stars = hits.filter("set <> least").select(F.col("least").alias("src"), F.col("set").alias("dst"))
+    pairs = stored(near.unionByName(stars).distinct(), "pairs")
+    left = pairs.join(sets.select(F.col("set").alias("dst"), F.col("hashes").alias("a")), "dst")
+    # Only lists of sets in a pair are moved.
+    right = sets.select(F.col("set").alias("src"), F.col("hashes").alias("b")).join(pairs.select("src").distinct(), "src", "left_semi")
+    first = stored(left.join(right, "src").filter(_alike("a", "b", similarity)).select("src", "dst"), "links")
 
     found = connected_components(first)
     placed = hits.filter("set <> least and n > 2").join(found, F.col("set") == F.col("node"), "left").withColumn("part", F.coalesce("component", "set"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pyrogrid.llm import exact_dedup, graph, simhash, substring_dedup
 from pyrogrid.llm.chunking import gear_hash, masked_cuts, peak_cuts
-from pyrogrid.llm.common import prepared
+from pyrogrid.llm.common import prepared, texts_of
 
 KIND = "doc_id long, text string, row string, recipe int, fp string, kept int, digest string"
 
@@ -179,6 +179,27 @@ def test_near_dedup_stage_equals_all_pairs_jaccard(spark):
     assert corpus_pipeline.drop_near_copies(spark, frame(spark, []), "").count() == 0
 
 
+def test_near_dedup_searches_fingerprints_of_the_shingle_sets(spark):
+    prepared(spark)
+    draw = random.Random(12)
+    mask, pairs = 2**64 - 1, []
+    for k in range(60):
+        base, other = draw.getrandbits(64), 0
+        for bit in draw.sample(range(64), k % 4):
+            other |= 1 << bit
+        pairs += [(2 * k, base), (2 * k + 1, base ^ other)]
+    sets = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in pairs], "set long, fp long")
+    got = {(r.src, r.dst) for r in simhash.near_fingerprints(sets).collect()}
+    assert {(2 * k, 2 * k + 1) for k in range(60)} <= got
+    assert all(((pairs[a][1] ^ pairs[b][1]) & mask).bit_count() <= simhash.NEAR_DISTANCE for a, b in got)
+    # A long text and its copy with one other word.
+    text = words(90, 6000)
+    rows = [(1, text), (2, text.replace(text.split()[250], "other", 1)), (3, words(91, 500))]
+    found = simhash.shingle_sets(texts_of(frame(spark, rows)), 5, False).select(F.col("doc_id").alias("set"), "fp")
+    assert [tuple(r) for r in simhash.near_fingerprints(found).collect()] == [(1, 2)]
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()} == {1, 3}
+
+
 def test_substring_spans_cover_passages_and_spare_the_rest(spark):
     passage, line = words(50, 60), words(51, 9)
     rows = [(i, f"{words(100 + i, 80)}\n{line}\n{words(200 + i, 50)}") for i in range(8)]
