@@ -44,14 +44,24 @@ def day_or_night(flag: Column) -> Column:
     return F.when(letter.isin("D", "N"), letter).otherwise(F.lit("D"))
 
 
+def worked_out_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows, with ``columns`` passed through a generator of one row.
+
+    Filters on them stay above it.  Otherwise the optimizer moves each filter below the
+    projection and repeats there, per condition, the texts and patterns it is made of.
+    """
+    passed = df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
+    return passed.select(*df.columns)
+
+
 def clean_detections(raw: DataFrame) -> DataFrame:
     """Typed rows with time, defaults and derived columns; unusable rows dropped."""
     df = require_columns(canonical_columns(raw))
     have = set(df.columns)
     numbers = {c: to_number(F.col(c)) if c in have else F.lit(None).cast("double") for c in NUMERIC_COLUMNS}
-    df = df.withColumns(numbers).na.drop(subset=NUMERIC_COLUMNS[:4])
-    df = df.withColumn("acq_utc", parse_utc(F.col("acq_date"), F.col("acq_time")))
-    df = df.filter(F.col("acq_utc").isNotNull())
+    df = df.withColumns(numbers | {"acq_utc": parse_utc(F.col("acq_date"), F.col("acq_time"))})
+    df = worked_out_once(df, [*numbers, "acq_utc"])
+    df = df.na.drop(subset=[*NUMERIC_COLUMNS[:4], "acq_utc"])
 
     def text(name: str, default: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in have else F.lit(default)

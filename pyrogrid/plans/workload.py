@@ -150,22 +150,26 @@ def dense_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarse land-cover pixels from ``lineitem``."""
+    """Coarse land-cover pixels from ``lineitem``.
+
+    Rows are reduced to one per pixel by its number; names are made for pixels, not for rows.
+    """
     m = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    tile, pixel = m % 48, F.floor(m / 48) % (TILE_PIXELS * TILE_PIXELS)
-    lat0, lon0 = 9 + 3 * (tile % 8), 72 + 3 * F.floor(tile / 8)
     codes = F.array(*[F.lit(c) for c in PIXEL_CODES])
-    return (
+    found = (
         table(spark, sf_dir, "lineitem")
-        .select(
-            F.format_string("N%02dE%03d", lat0, lon0).alias("tile_id"),
-            F.floor(pixel / TILE_PIXELS).cast("int").alias("row"),
-            (pixel % TILE_PIXELS).cast("int").alias("col"),
-            F.element_at(codes, (F.col("l_quantity").cast("int") % 12 + 1)).alias("code"),
-        )
-        .groupBy("tile_id", "row", "col")
+        .select((m % (48 * TILE_PIXELS * TILE_PIXELS)).alias("at"), F.element_at(codes, (F.col("l_quantity").cast("int") % 12 + 1)).alias("code"))
+        .groupBy("at")
         .agg(F.max("code").alias("code"))
     )
+    tile, pixel = F.col("at") % 48, F.floor(F.col("at") / 48)
+    lat0, lon0 = 9 + 3 * (tile % 8), 72 + 3 * F.floor(tile / 8)
+    return found.select(
+        F.format_string("N%02dE%03d", lat0, lon0).alias("tile_id"),
+        F.floor(pixel / TILE_PIXELS).cast("int").alias("row"),
+        (pixel % TILE_PIXELS).cast("int").alias("col"),
+        "code",
+    )
 
 
 def rounded_centres(found: DataFrame) -> DataFrame:
@@ -183,9 +187,14 @@ def annotated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate_landcover(sources(spark, sf_dir), pixels(spark, sf_dir), TILE_PIXELS)
 
 
+def covered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sources with their land cover, which features and labels start from: pixels are read once."""
+    return _keep(spark, sf_dir, "covered", lambda: annotated_sources(spark, sf_dir))
+
+
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = site_index(spark, sf_dir)
-    return features.build_features(annotated_sources(spark, sf_dir), facilities(spark, sf_dir), index=index)
+    return features.build_features(covered_sources(spark, sf_dir), facilities(spark, sf_dir), index=index)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +205,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored labelled sources with their nearest facility, which all label jobs start from."""
     def build() -> DataFrame:
         index = site_index(spark, sf_dir)
-        return labels.label_sources(annotated_sources(spark, sf_dir), facilities(spark, sf_dir), index=index, keep_nearest=True)
+        return labels.label_sources(covered_sources(spark, sf_dir), facilities(spark, sf_dir), index=index, keep_nearest=True)
 
     return _keep(spark, sf_dir, "labelled", build)
 

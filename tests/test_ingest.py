@@ -99,3 +99,15 @@ def test_tiles_and_blocks(spark):
     assert [r["t"] for r in rows] == ["N27E075", "N27E078", "S03W003"]
     assert rows[0]["b"] == "14_38" and rows[2]["b"] == "-1_-1"
     assert tuple(rows[2]["x"]) == (-3.0, -3.0, 0.0, 0.0)
+
+
+def test_filters_do_not_repeat_the_parsing(spark):
+    names = ["latitude", "longitude", "bright_ti4", "bright_ti5", "scan", "track", "frp"]
+    raw = spark.range(100, 140).select(
+        *[F.concat(F.lit(v), "id").alias(c) for c, v in zip(names, ("22.80", "70.90", "330.", "295.", "0.4", "0.4", "1."))],
+        F.lit("2026-09-20").alias("acq_date"), F.when(F.col("id") % 4 == 0, "2460").otherwise("858").alias("acq_time"), F.lit("D").alias("daynight"),
+    )
+    clean = ingest.normalise(raw)
+    conditions = [line for line in clean._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert conditions and not any("RLIKE" in line for line in conditions)
+    assert clean.count() == 30 and [c for c in clean.columns if c in raw.columns] == raw.columns

@@ -2,11 +2,13 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from pyrogrid.plans import workload as W
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -55,3 +57,17 @@ def test_same_rows_as_sql(spark, sql, name):
 def test_entry(spark):
     rows = entry_points.entry(spark).collect()
     assert rows and rows[0]["flare_score"] >= rows[-1]["flare_score"]
+
+
+def test_pixels_are_read_once_and_grouped_by_number(spark, sql):
+    assert W.labelled(spark, FOLDER).count()
+    assert not any("lineitem" in file for file in W.feature_rows(spark, FOLDER).inputFiles())
+    pixels = W.pixels(spark, FOLDER)
+    groups = [line for line in pixels._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert groups and all(re.search(r"Aggregate \[at#\d+L\]", line) for line in groups)
+    got = sorted((r["tile_id"], r["row"], r["col"], r["code"]) for r in pixels.collect())
+    want = sql.execute(
+        f"""WITH p AS (SELECT (l_orderkey * 8 + l_linenumber) % 48 AS t, (l_orderkey * 8 + l_linenumber) // 48 % 900 AS p, {W.PIXEL_CODES}[l_quantity::int % 12 + 1] AS code FROM lineitem)
+            SELECT printf('N%02dE%03d', 9 + 3 * (t % 8), 72 + 3 * (t // 8)), p // 30, p % 30, max(code) FROM p GROUP BY ALL"""
+    ).fetchall()
+    assert got == sorted(want)
